@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, the separator of `[^\x20\x09-\x0D]+` words.
 SPACE = "[\\x20\\x09-\\x0D]+"
+#: A word between them.
+WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldstone.llm.bitplanes import op9_token_files
+from fieldstone.llm.decontamination import op1_decontamination
+from fieldstone.llm.mixing import op6_mixing
+from fieldstone.llm.quality import op4_quality
+from fieldstone.llm.simhash import op8_simhash
 from fieldstone.llm.token_counts import op7_token_counts
+from fieldstone.llm.toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_toxicity": op2_toxicity,
+    "op4_quality": op4_quality,
+    "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
+    "op8_simhash": op8_simhash,
     "op9_token_files": op9_token_files,
 }
 
