@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fieldstone.llm.bitplanes import op9_token_files
 from fieldstone.llm.decontamination import op1_decontamination
+from fieldstone.llm.language_model import op5_language_model
 from fieldstone.llm.mixing import op6_mixing
+from fieldstone.llm.pii import op10_pii
 from fieldstone.llm.quality import op4_quality
 from fieldstone.llm.simhash import op8_simhash
 from fieldstone.llm.token_counts import op7_token_counts
@@ -18,10 +20,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
     "op4_quality": op4_quality,
+    "op5_language_model": op5_language_model,
     "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
     "op9_token_files": op9_token_files,
+    "op10_pii": op10_pii,
 }
 
 #: The tokenizer is a library, so operators 7 and 9 have no SQL.
