@@ -80,7 +80,7 @@ _DOC_ARROW = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("at", pa.in
 
 def _pack_documents(path: str, end_id: int, file_ids: int, block: int, plane_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).encode, struct.pack("<I", end_id)
+        encode, end = encoder(path).encode_many, struct.pack("<I", end_id)
         shard, seq = TaskContext.get().partitionId(), 0
         docs, sizes, parts, total = [], [], [], 0
 
@@ -89,10 +89,10 @@ def _pack_documents(path: str, end_id: int, file_ids: int, block: int, plane_bit
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((shard, seq, total, docs, sizes, data), _FILE_ARROW, strict=True)], schema=_FILE_ARROW)
 
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id"), b.column("text"), strict=True):
-                ids = encode(text.as_py()) + end
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(t.as_py() for t in b.column("text")), strict=True):
+                ids += end
                 parts.append(ids)
-                docs.append(doc_id.as_py())
+                docs.append(doc_id)
                 sizes.append(len(ids) // 4)
                 total += sizes[-1]
                 if total >= file_ids:

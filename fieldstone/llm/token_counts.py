@@ -16,9 +16,9 @@ _CACHE_SCHEMA = "digest binary, n_tokens long"
 
 def _count_batches(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path).encode_many
         for b in batches:
-            counts = [len(encode(t.as_py())) // 4 for t in b.column("content")]
+            counts = [len(ids) // 4 for ids in encode(t.as_py() for t in b.column("content"))]
             yield pa.record_batch([b.column("digest"), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
 
     return run

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 
@@ -14,8 +16,10 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 #: Marks that the pre-tokenizer always splits from a letter or digit before them.
 TAIL = b".,!?;:&$%#*"
 _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
-#: Cached words of one worker; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+#: Cached words of one generation of a worker's cache.
+CACHE_WORDS = 800_000
+#: Characters that are encoded at a time, and words to a line of plain ones.
+GROUP_CHARS, LINE_WORDS = 200_000, 100
 
 
 def tokenizer_digest(path: str) -> str:
@@ -44,54 +48,88 @@ class _Whole:
             model.no_truncation()
             model.no_padding()
             self._ids = lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+            self._model = model
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return np.array(self._ids([text])[0], dtype="<u4").tobytes()
+    def encode_some(self, texts: list[str]) -> list[bytes]:
+        return [np.array(ids, dtype="<u4").tobytes() for ids in self._ids(texts)]
+
+    def encode_many(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers, a few texts at a time."""
+        some, size = [], 0
+        for t in texts:
+            some.append(t)
+            size += len(t)
+            if size > GROUP_CHARS:
+                yield from self.encode_some(some)
+                some, size = [], 0
+        yield from self.encode_some(some)
 
 
 class _ByWord(_Whole):
     """For tokenizers that drop white space and never merge over it.
 
     The ids of a text are then those of its words in order, so each distinct
-    word is encoded once per worker and cache.
+    word is encoded once per worker and cache. The cache has two generations:
+    when the younger is full it becomes the older, and words in use move back.
     """
 
     def __init__(self, path: str):
         super().__init__(path)
-        self._cache: dict[bytes, bytes] = {}
-
-    def _add(self, chunks: list[bytes]) -> None:
-        if len(self._cache) + len(chunks) > CACHE_WORDS:
-            self._cache = {}
-        cache, plain, split = self._cache, [], []
-        for c in chunks:
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
+        size = self._model.get_vocab_size(with_added_tokens=True)
+        self._ends = np.array([(self._model.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def _plain(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only: encoded in lines, parted at the ids that end a word."""
+        out: list[bytes] = []
+        for at in range(0, len(words), LINE_WORDS):
+            some = words[at : at + LINE_WORDS]
+            ids = np.array(self._ids([" ".join(some)])[0], dtype="<u4")
+            ends = np.flatnonzero(self._ends[ids]) + 1
+            if len(ends) == len(some):
+                data = ids.tobytes()
+                stops = (ends * 4).tolist()
+                out += [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+            else:  # a word that the library parts after all
+                out += super().encode_some(some)
+        return out
+
+    def _learn(self, missing: set[bytes]) -> None:
+        young, old, split, fresh = self._young, self._old, [], set()
+        for c in missing:
+            if (ids := old.get(c)) is not None:
+                young[c] = ids
+                continue
             stem = c.rstrip(TAIL)
             if stem and len(stem) < len(c) and stem[-1] in _ALNUM and b"<|" not in c:
                 split.append((c, stem, c[len(stem) :]))
+                fresh.update((stem, c[len(stem) :]))
             else:
-                plain.append(c)
-        parts = {p for _, stem, tail in split for p in (stem, tail) if p not in cache}
-        parts.update(plain)
-        fresh = list(parts)
-        for c, ids in zip(fresh, self._ids([c.decode() for c in fresh]), strict=True):
-            cache[c] = np.array(ids, dtype="<u4").tobytes()
+                fresh.add(c)
+        texts = [c.decode() for c in fresh if c not in young]
+        letters, others = [t for t in texts if t.isalpha()], [t for t in texts if not t.isalpha()]
+        for some, ids in ((letters, self._plain(letters)), (others, super().encode_some(others))):
+            young.update(zip([t.encode() for t in some], ids, strict=True))
         for c, stem, tail in split:
-            cache[c] = cache[stem] + cache[tail]
-
-    def encode(self, text: str) -> bytes:
-        data = text.encode()
-        if b"<|" not in data:  # marks of special strings keep their case
-            data = data.translate(LOWER)
-        chunks = data.split()
-        try:
-            return b"".join(map(self._cache.__getitem__, chunks))
-        except KeyError:
-            missing = [c for c in set(chunks) if c not in self._cache]
-            self._add(missing)
-            if not all(c in self._cache for c in chunks):  # the cache was emptied
-                self._add(list(set(chunks)))
-            return b"".join(map(self._cache.__getitem__, chunks))
+            young[c] = young[stem] + young[tail]
+
+    def encode_some(self, texts: list[str]) -> list[bytes]:
+        chunks = []
+        for t in texts:
+            data = t.encode()
+            chunks.append((data if b"<|" in data else data.translate(LOWER)).split())  # special strings keep their case
+        if len(self._young) > CACHE_WORDS:
+            self._young, self._old = {}, self._young
+        flat = list(chain.from_iterable(chunks))
+        found = list(map(self._young.get, flat))
+        if None in found:
+            holes = [i for i, ids in enumerate(found) if ids is None]
+            self._learn({flat[i] for i in holes})
+            for i in holes:
+                found[i] = self._young[flat[i]]
+        ends = list(accumulate(map(len, chunks)))
+        return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def _drops_space(path: str) -> bool:
