@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldstone.sources.storage import drop_stored, new_path, shared_dir, workers_import
+
+__all__ = ["SPACE", "WORD", "crc_mod", "drop_stored", "new_path", "parallelism", "shared_dir", "store", "table", "words", "workers_import"]
+
 #: ASCII white space, the separator of `[^\x20\x09-\x0D]+` words.
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: A word between them.
@@ -21,24 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Where the session has none (tests, a single machine) a temporary one is set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-        if not path:
-            path = tempfile.mkdtemp(prefix="fieldstone-shared-")
-            spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 def store(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write `df` to the shared folder and return the written table: lineage ends there."""
     spark = df.sparkSession
@@ -47,23 +28,6 @@ def store(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession, *paths: str) -> None:
-    """Remove intermediate tables that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for p in paths:
-        at = jvm.org.apache.hadoop.fs.Path(p)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def workers_import(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
-
-
 def parallelism(spark: SparkSession) -> int:
     """Partitions for an explicit repartition: the session's own setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -75,11 +39,6 @@ def words(text: Column) -> Column:
     return F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(F.split(bare, SPACE))
 
 
-def lower_ascii(text: Column) -> Column:
-    """A-Z to lower case and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id's text modulo n: the fold of a document (null id: of the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
