@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fieldstone.llm.bitplanes import op9_token_files
 from fieldstone.llm.decontamination import op1_decontamination
 from fieldstone.llm.language_model import op5_language_model
+from fieldstone.llm.line_dedup import op3_line_dedup
 from fieldstone.llm.mixing import op6_mixing
 from fieldstone.llm.pii import op10_pii
 from fieldstone.llm.quality import op4_quality
@@ -19,6 +20,7 @@ from fieldstone.llm.toxicity import op2_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
+    "op3_line_dedup": op3_line_dedup,
     "op4_quality": op4_quality,
     "op5_language_model": op5_language_model,
     "op6_mixing": op6_mixing,
