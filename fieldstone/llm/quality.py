@@ -1,8 +1,9 @@
 """Operator 4, quality rules: hashed n-gram log-likelihood ratio, trusted target against raw corpus.
 
 DataFrame functions only. Word and word-pair hashes fall into a fixed number of
-bins. A bin's weight is log(p_trusted / p_raw) under two smoothed multinomials;
-a document's score is the mean weight of its n-grams.
+bins. A bin's weight is log(p_trusted / p_raw), the trusted multinomial having the raw
+one as its Dirichlet prior, so that bins seen seldom weigh nothing; a document's
+score is the mean weight of its n-grams.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ class QualityParams:
     """max_trusted bounds the sample of trusted documents (those of least hash); raw counts cover every document."""
 
     bins: int = 16_384
-    smoothing: float = 8.0
-    threshold: float = -0.25
+    smoothing: float = 32.0
+    threshold: float = -0.04
     max_trusted: int = 20_000
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -101,8 +102,9 @@ def bin_weights(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityPa
             target[r["bin"]] += r["n"]
     if not sum(target):
         return [0.0] * p.bins
-    t, n = sum(target) + p.smoothing * p.bins, sum(raw) + p.smoothing * p.bins
-    return [round(math.log((a + p.smoothing) / t * n / (b + p.smoothing)), 5) for a, b in zip(target, raw, strict=True)]
+    share = [(b + 1.0) / (sum(raw) + p.bins) for b in raw]
+    prior, total = p.smoothing * p.bins, sum(target)
+    return [round(math.log((a + prior * q) / (total + prior) / q), 5) for a, q in zip(target, share, strict=True)]
 
 
 def quality_of(text: Column, weights: list[float], p: QualityParams = QualityParams()) -> Column:
