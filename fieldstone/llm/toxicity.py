@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -26,13 +27,15 @@ _TERM_BYTES = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or
 class FMParams:
     """max_rows bounds the labelled sample the model is fitted on (rows of least hash)."""
 
-    buckets: int = 1 << 18
-    factors: int = 8
-    max_rows: int = 24_000
+    buckets: int = 1 << 19
+    factors: int = 4
+    max_rows: int = 16_000
     min_docs: int = 4
-    epochs: int = 12
+    #: Standard deviations by which a bucket's toxic rows must differ from chance.
+    min_strength: float = 4.0
+    epochs: int = 10
     batch: int = 256
-    rate: float = 0.05
+    rate: float = 0.1
     l2: float = 1e-4
     l2_factors: float = 1e-3
     seed: int = 7
@@ -54,17 +57,32 @@ class FMModel:
         return float(1 / (1 + np.exp(-z))) if z >= 0 else float(np.exp(z) / (1 + np.exp(z)))
 
 
+#: Bytes of the word beginnings and endings that count as terms beside whole words.
+HEADS, TAILS = (4, 5, 6), (4, 6)
+
+
 def hashed_terms(text: str | None, buckets: int) -> np.ndarray:
-    """Distinct buckets of a whole text's terms, ascending."""
-    terms = set((text or "").encode().translate(_TERM_BYTES).split())
-    return np.unique(np.fromiter(map(crc32, terms), dtype=np.uint32, count=len(terms)) & np.uint32(buckets - 1)).astype(np.int32)
+    """Distinct buckets of a whole text's terms, ascending.
+
+    Terms are the words and their first and last bytes, so that an inflected or
+    compounded insult shares terms with its other forms.
+    """
+    words = set((text or "").encode().translate(_TERM_BYTES).split())
+    long_ = [w for w in words if len(w) > 4]
+    found = list(map(crc32, words))
+    for n in HEADS:
+        found += map(crc32, {w[:n] for w in long_}, repeat(n))
+    for n in TAILS:
+        found += map(crc32, {w[-n:] for w in long_}, repeat(100 + n))
+    return np.unique(np.array(found, dtype=np.uint32) & np.uint32(buckets - 1)).astype(np.int32)
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, p: FMParams) -> FMModel:
     """Logistic loss, AdaGrad, mini-batches in a seeded order; the same rows give the same model.
 
-    Buckets in fewer than min_docs rows keep weight zero. Without rows, or with
-    one label only, the model is the smoothed share of that label.
+    Buckets in fewer than min_docs rows, or of min_strength less, keep weight
+    zero. Without rows, or with one label only, the model is the smoothed share
+    of that label.
     """
     weights, factors = np.zeros(p.buckets, dtype=np.float32), np.zeros((p.buckets, p.factors), dtype=np.float32)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
@@ -72,36 +90,42 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, p: FMParams) -> FMModel:
     if len(rows) == 0 or labels.min() == labels.max():
         return model
     df = np.bincount(np.concatenate(rows), minlength=p.buckets)
-    used = df >= p.min_docs
-    rows = [r[used[r]] for r in rows]
-    rng = np.random.default_rng(p.seed)
-    factors[used] = rng.normal(0, 0.01, (int(used.sum()), p.factors))
-    g_w, g_v, g_b = np.full(p.buckets, 1e-2, dtype=np.float32), np.full((p.buckets, p.factors), 1e-2, dtype=np.float32), 1e-2
+    toxic = np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y]), minlength=p.buckets)
+    rate = labels.mean()
+    strength = np.abs(toxic - df * rate) / np.sqrt(np.maximum(df, 1) * rate * (1 - rate))
+    active = np.flatnonzero((df >= p.min_docs) & (strength >= p.min_strength))
+    number = np.full(p.buckets, -1, dtype=np.int32)
+    number[active] = np.arange(len(active))
+    rows = [(n := number[r])[n >= 0] for r in rows]
+    rng, size = np.random.default_rng(p.seed), len(active)
+    w, v = np.zeros(size), rng.normal(0, 0.01, (p.factors, size))
+    g_w, g_v, g_b = np.full(size, 1e-2), np.full((p.factors, size), 1e-2), 1e-2
     for _ in range(p.epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), p.batch):
             part = order[at : at + p.batch]
-            sizes = np.array([len(rows[i]) for i in part])
-            flat = np.concatenate([rows[i] for i in part]).astype(np.int64)
-            owner = np.repeat(np.arange(len(part)), sizes)
-            v = factors[flat]
-            s = np.zeros((len(part), p.factors), dtype=np.float32)
-            np.add.at(s, owner, v)
-            sq = np.bincount(owner, weights=np.einsum("ij,ij->i", v, v), minlength=len(part))
-            z = model.bias + np.bincount(owner, weights=weights[flat], minlength=len(part)) + 0.5 * (np.einsum("ij,ij->i", s, s) - sq)
-            err = ((1 / (1 + np.exp(-np.clip(z, -30, 30)))) - labels[part]).astype(np.float32)
-            ids, inv = np.unique(flat, return_inverse=True)
-            dw = np.bincount(inv, weights=err[owner], minlength=len(ids)).astype(np.float32) / len(part) + p.l2 * weights[ids]
-            dv = np.zeros((len(ids), p.factors), dtype=np.float32)
-            np.add.at(dv, inv, err[owner, None] * (s[owner] - v) / len(part))
-            dv += p.l2_factors * factors[ids]
-            db = float(err.mean())
-            g_w[ids] += dw * dw * len(part)
-            g_v[ids] += dv * dv * len(part)
-            g_b += db * db * len(part)
-            weights[ids] -= p.rate * dw * np.sqrt(len(part)) / np.sqrt(g_w[ids])
-            factors[ids] -= p.rate * dv * np.sqrt(len(part)) / np.sqrt(g_v[ids])
-            model.bias -= p.rate * db * np.sqrt(len(part)) / np.sqrt(g_b)
+            flat = np.concatenate([rows[i] for i in part])
+            owner = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
+            by_row = lambda x, owner=owner, n=len(part): np.bincount(owner, weights=x, minlength=n)
+            by_term = lambda x, flat=flat: np.bincount(flat, weights=x, minlength=size)
+            vs = [vf[flat] for vf in v]
+            sums = [by_row(x) for x in vs]
+            pairs = sum(s * s - by_row(x * x) for s, x in zip(sums, vs, strict=True)) / 2
+            z = model.bias + by_row(w[flat]) + pairs
+            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[part]) / np.sqrt(len(part))
+            each = err[owner]
+            seen = by_term(np.ones(len(flat))) > 0
+            d = by_term(each) + p.l2 * w * seen
+            g_w += d * d
+            w -= p.rate * d / np.sqrt(g_w)
+            for f, (s, x) in enumerate(zip(sums, vs, strict=True)):
+                d = by_term(each * (s[owner] - x)) + p.l2_factors * v[f] * seen
+                g_v[f] += d * d
+                v[f] -= p.rate * d / np.sqrt(g_v[f])
+            d = float(err.sum())
+            g_b += d * d
+            model.bias -= p.rate * d / np.sqrt(g_b)
+    weights[active], factors[active] = w, v.T
     return model
 
 
