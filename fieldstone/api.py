@@ -28,6 +28,8 @@ def _plan(spec: ReadSpec) -> str:
     """The physical path: what the caller asks for, else the cheapest that keeps exact semantics."""
     if spec.scan == "native" and not scan.native_legal(spec):
         raise SpecError("Spark's CSV source does not read this dialect: see native_legal")
+    if spec.scan == "split" and not scan.split_legal(spec):
+        raise SpecError("files of this dialect cannot be split by quotes: see split_legal")
     if spec.scan == "expression" and not scan.expression_legal(spec):
         raise SpecError("the expression path does not read this dialect: see expression_legal")
     return spec.scan if spec.scan != "auto" else "expression" if scan.expression_legal(spec) else "exact"
@@ -55,6 +57,8 @@ def read_records(spark: SparkSession, paths: Paths, spec: ReadSpec = ReadSpec(),
     paths = _paths(paths)
     if _plan(spec) == "expression":
         return scan.expression_records(spark, paths, spec, _headerless(spark, paths, spec), numbered)
+    if _plan(spec) == "split":
+        return scan.split_records(spark, paths, spec, _headerless(spark, paths, spec))
     return scan.exact_records(spark, paths, spec, _headerless(spark, paths, spec), detector)
 
 
@@ -114,7 +118,7 @@ def read_delimited(spark: SparkSession, paths: Paths, spec: ReadSpec = ReadSpec(
     rows = read_records(spark, paths, spec, detector, numbered=False)
     if spec.options.mode == "permissive":
         rows = rows.where(F.col("error").isNull())
-    number = F.coalesce("record_no", F.lit(0)) if _plan(spec) == "expression" else F.col("record_no")
+    number = F.coalesce("record_no", F.lit(0))
     fields = rows.select(checked(F.col("fields"), number, len(names), spec).alias("fields"))
     out = []
     for i in picked:

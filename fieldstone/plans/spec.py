@@ -200,7 +200,7 @@ class Options:
 class ReadSpec:
     """All that a read needs. `multiline`: quoted fields may hold the line terminator.
 
-    `scan` picks the physical path: exact, expression, native or auto. `parsers`
+    `scan` picks the physical path: exact, expression, split, native or auto. `parsers`
     maps a type to a parser for all its fields; the last registered wins.
     """
 
@@ -213,7 +213,7 @@ class ReadSpec:
     scan: str = "auto"
 
     def __post_init__(self) -> None:
-        if self.scan not in ("auto", "exact", "expression", "native"):
+        if self.scan not in ("auto", "exact", "expression", "split", "native"):
             raise SpecError(f"unknown scan {self.scan!r}")
         for f in self.schema.fields if self.schema else ():
             if twice := set(f.sequences) & set(self.sequences()):

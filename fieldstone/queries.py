@@ -170,6 +170,14 @@ def quoted_multiline_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.read_delimited(spark, encode.write_table(df, d), ReadSpec(d, S.indexed(*fields_of(df))))
 
 
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def quoted_multiline_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same text by the path that splits files."""
+    d = Dialect(",", "\n")
+    df = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return api.read_delimited(spark, encode.write_table(df, d), ReadSpec(d, S.indexed(*fields_of(df)), scan="split"))
+
+
 @query("SELECT page_id, url, html FROM pages")
 def doubled_quotes_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Dialect(",", "\r\n")

@@ -1,10 +1,11 @@
 """Scans: files to rows of (file, record_no, raw, fields, error).
 
-Three physical paths give the same rows where each is legal:
+Four physical paths give the same rows where each is legal:
 
 exact       whole files through the Python tokenizer, in Arrow batches; any dialect
 expression  one line per record, tokenized by Column expressions; splittable
             unless records have to be numbered
+split       quoted fields may hold terminators; files are split by the parity of quotes
 native      Spark's own CSV source (see `api.read_delimited`); splittable
 """
 
@@ -13,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldstone.operators import tokenizer as tk
@@ -127,7 +128,12 @@ def expression_records(spark: SparkSession, paths: Sequence[str], spec: ReadSpec
             lines = lines.where(~comment)
         if d.comment_rows:
             lines = lines.where(~F.col("record_no").isin(*d.comment_rows))
-    fields = tokenize(F.col("raw"), d)
+    return _tokenized(lines, spec)
+
+
+def _tokenized(lines: DataFrame, spec: ReadSpec) -> DataFrame:
+    """(file, record_no, raw) with the fields of each record and, by the mode, an error."""
+    fields = tokenize(F.col("raw"), spec.dialect)
     bad = F.concat(F.lit("Malformed record: "), F.col("raw"))
     if spec.options.mode == "failfast":
         fields = F.coalesce(fields, F.raise_error(bad).cast(FIELDS))
@@ -138,6 +144,94 @@ def expression_records(spark: SparkSession, paths: Sequence[str], spec: ReadSpec
     return out.withColumn("error", F.when(F.col("fields").isNull(), bad)).withColumn("fields", F.coalesce("fields", F.array().cast(FIELDS)))
 
 
+def split_legal(spec: ReadSpec) -> bool:
+    """Whether the quotes before a place tell if it lies inside a quoted field.
+
+    So it is where quotes only enclose fields or are doubled in them. The caller
+    vouches for that; comments, escapes and arrays rule it out.
+    """
+    d = spec.dialect
+    return bool(d.quote) and not d.escape and not d.comment and not d.comment_rows and not d.array and not spec.resource.compression and _charset(spec) == "UTF-8"
+
+
+def split_records(spark: SparkSession, paths: Sequence[str], spec: ReadSpec, headerless: frozenset[str] = frozenset()) -> DataFrame:
+    """Records whose quoted fields hold terminators, from files that Spark splits.
+
+    A first pass sums the quotes of each split; the sums' parities say which
+    splits begin inside a quoted field. A second pass joins lines to records
+    within each split, without a shuffle. What crosses a split's border, two
+    pieces a split at most, is put together by file. record_no is null.
+    """
+    if not split_legal(spec):
+        raise SpecError("the split path needs quotes that only enclose or double: see split_legal")
+    workers_import(spark)
+    d = spec.dialect
+    quote, end, last = d.quote, d.line_terminator, max(d.header_rows, default=0)
+    lines = spark.read.option("lineSep", end).text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    odd = (F.sum(F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))) % 2).cast("int")
+    sums = lines.groupBy("file", "block").agg(odd.alias("odd")).orderBy("file", "block").limit(MAX_SPLITS + 1).collect()
+    if len(sums) > MAX_SPLITS:
+        raise SpecError(f"more than {MAX_SPLITS} splits: read the files in parts")
+    inside: dict[tuple[str, int], int] = {}
+    now, name = 0, None
+    for r in sums:
+        now, name = (now if r["file"] == name else 0), r["file"]
+        inside[name, r["block"]] = now
+        now ^= r["odd"]
+    begins = spark.sparkContext.broadcast(inside)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, piece, started, is_open, skip = None, [], True, False, 0
+        out: list[tuple[str, int, int, str]] = []
+
+        def close(kind: int) -> None:
+            nonlocal piece, started, skip
+            text, piece, started = end.join(piece), [], True
+            if kind == WHOLE and skip:
+                skip -= 1
+            else:
+                out.append((*at, kind, text))
+
+        for b in batches:
+            for file, block, value in zip(*(b.column(c).to_pylist() for c in ("file", "block", "value")), strict=True):
+                if (file, block) != at:
+                    if piece:
+                        close(BEGUN if started else INNER)
+                    at = (file, block)
+                    is_open = bool(begins.value[at])  # a split that the first pass did not see is an error
+                    started, skip = not is_open, 0 if block or file in headerless else last
+                    value = value if block else value.removeprefix("\ufeff")
+                piece.append(value)
+                is_open ^= value.count(quote) % 2 == 1
+                if not is_open:
+                    close(WHOLE if started else ENDED)
+            yield _pieces(out)
+            out = []
+        if piece:
+            close(BEGUN if started else INNER)
+        yield _pieces(out)
+
+    pieces = lines.mapInArrow(run, "file string, block long, kind int, raw string")
+    broken = pieces.where(F.col("kind") != WHOLE)
+    order = Window.partitionBy("file").orderBy("block", "kind")
+    groups = broken.withColumn("nth", F.sum((F.col("kind") == BEGUN).cast("int")).over(order))
+    parts = F.sort_array(F.collect_list(F.struct("block", "kind", "raw")))
+    mended = groups.groupBy("file", "nth").agg(F.array_join(F.transform(parts, lambda x: x["raw"]), end).alias("raw"))
+    every = pieces.where(F.col("kind") == WHOLE).select("file", "raw").unionByName(mended.select("file", "raw"))
+    return _tokenized(every.select("file", F.lit(None).cast("long").alias("record_no"), "raw"), spec)
+
+
+#: Kinds of a split's pieces, in their order within a split.
+WHOLE, ENDED, INNER, BEGUN = range(4)
+#: Splits whose parities the driver holds, some tens of bytes each.
+MAX_SPLITS = 2_000_000
+
+
+def _pieces(rows: list[tuple[str, int, int, str]]) -> pa.RecordBatch:
+    kinds = (("file", pa.string()), ("block", pa.int64()), ("kind", pa.int32()), ("raw", pa.string()))
+    return pa.record_batch([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
+
+
 def native_legal(spec: ReadSpec) -> bool:
     """Whether Spark's CSV source reads the same values.
 

@@ -88,8 +88,8 @@ TEXTS = ["k;v\r\n1;a\r\n2;\r\n;b\r\n", "k;v\r\n1;a\r\n2;b", "k;v\r\n", 'k;v\r\n"
 @pytest.mark.parametrize("text", TEXTS)
 def test_paths_agree(spark, put, text):
     path = put(text)
-    got = [rows(api.read_delimited(spark, path, dataclasses.replace(SEMI, scan=p, multiline=False))) for p in ("exact", "expression", "native")]
-    assert got[0] == got[1] == got[2]
+    got = [rows(api.read_delimited(spark, path, dataclasses.replace(SEMI, scan=p, multiline=False))) for p in ("exact", "expression", "split", "native")]
+    assert got[0] == got[1] == got[2] == got[3]
 
 
 def test_illegal_paths_are_refused(spark, put):
@@ -126,6 +126,23 @@ def test_expression_scan_splits_files(spark, put):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+@pytest.mark.parametrize("size", [7, 40, 1000, 100_000])
+@pytest.mark.parametrize("d", [Dialect(";", "\n"), Dialect(";", "\r\n", header_rows=())])
+def test_split_path_at_any_split_size(spark, put, size, d):
+    cells = [[str(i), "line one\nsecond; \"quoted\"\r\n" * (i % 4), "" if i % 3 else "\n\n", "é\U0001f600"] for i in range(60)]
+    body = [";".join('"' + c.replace('"', '""') + '"' if i % 2 or "\n" in c else c for c in row) for i, row in enumerate(cells)]
+    path = put("\ufeff" + d.line_terminator.join((["a;b;c;d"] if d.header else []) + body) + d.line_terminator)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        df = api.read_delimited(spark, path, ReadSpec(d, scan="split"))
+        assert sorted(rows(df), key=lambda r: int(r[0])) == [tuple(c) for c in cells]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_ragged_field_counts(spark, put):
     path = put("w;x;y;z\r\n125;foo;2025-12-25\r\n256;bar\r\n304;qrz;2025-04-01;10.25\r\n")
     df = api.read_records(spark, path, SEMI)
