@@ -284,6 +284,7 @@ def _merge(key: tuple, part: pa.Table) -> pa.Table:
     return pa.table([pa.array([x], f.type) for x, f in zip(row, _HIT_ARROW, strict=True)], schema=_HIT_ARROW)
 
 
-def op1_decontamination(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
-    docs = table(spark, sf_dir, "documents") if docs is None else docs
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns; proximity matches are the operator's `n_near`."""
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("items", "n_near")
