@@ -29,9 +29,14 @@ class TemplateParams:
     max_children: int = 8
 
 
+#: A word with a digit: from a word's start, up to its first digit without turning back.
+_VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+
+
 def masked(line: Column) -> Column:
     """Tokens of a line, with ANY for those that hold a digit."""
-    return F.transform(F.array_remove(F.split(line, SPACE), ""), lambda t: F.when(t.rlike("[0-9]"), F.lit(ANY)).otherwise(t))
+    fixed = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _VARIABLE, ANY)).otherwise(line)
+    return F.array_remove(F.split(fixed, SPACE), "")
 
 
 def _leaf(tokens: Column, depth: int) -> Column:
