@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldstone.sources.storage import drop_stored, new_path, shared_dir, workers_import
 
-__all__ = ["SPACE", "WORD", "crc_mod", "drop_stored", "new_path", "parallelism", "shared_dir", "store", "table", "words", "workers_import"]
+__all__ = ["SPACE", "WORD", "crc_mod", "drop_stored", "new_path", "parallelism", "shared_dir", "store", "table", "workers_import"]
 
 #: ASCII white space, the separator of `[^\x20\x09-\x0D]+` words.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -33,12 +33,6 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def words(text: Column) -> Column:
-    """array<string> of the `[^\\x20\\x09-\\x0D]+` words; null and blank texts give []."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACE}|{SPACE}$", "")
-    return F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(F.split(bare, SPACE))
-
-
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id's text modulo n: the fold of a document (null id: of the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
