@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldstone.llm.common import WORD, store, table
@@ -105,31 +106,46 @@ def plan_flows(patterns: dict[tuple, int], targets: dict[str | None, float], max
     return {p: {s: flow.get((("pattern", k), ("source", s), 0), 0) for s in p} for k, p in enumerate(patterns)}
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = 42, max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", sources_col: str = "sources") -> tuple[DataFrame, dict[str | None, int], dict[str | None, float]]:
-    """Documents with the times the mix takes them, source sizes, and source targets.
+@dataclass(frozen=True)
+class MixPlan:
+    """What a mix takes: per pattern whole passes, and one more of the documents whose (bin, draw) come first.
 
-    The first has a row per row of `docs`: doc_id, text_hash, sources, size,
-    repeats (0 to max_repeats). `sources_col` is an array: a document may belong
-    to several sources (null entries are a source of their own; an empty or null
-    array belongs to the null source). A pattern's words are taken in whole
-    passes over its documents plus a part of one pass, in the order of a seeded
-    hash of id and text, up to the flow. Bins of that hash are summed first, and
-    only the bin at the margin is sorted, so a source with a third of the rows
-    never meets in one task. Null and blank texts have size 0 and are never
-    taken. Rows alike in id and text tie: any of them may be the one taken. An
-    empty table gives no rows; other columns are not read.
+    cuts: (pattern, passes, bin, draw) of the last document with the extra pass,
+    bin -1 for none. rows: the stored doc_id, text_hash, sources, size, pattern,
+    bin and draw of every document.
     """
-    spark = docs.sparkSession
+
+    cuts: list[tuple[str, int, int, int]]
+    sizes: dict[str | None, int]
+    targets: dict[str | None, float]
+    seed: int
+    rows: DataFrame
+
+
+def _keyed(docs: DataFrame, seed: int, id_col: str, text_col: str, sources_col: str) -> dict[str, Column]:
+    """pattern, draw and bin of a row: all that its place in the mix depends on."""
     some = F.coalesce(F.size(sources_col), F.lit(-1)) > 0
+    sources = F.when(some, F.array_sort(F.array_distinct(sources_col))).otherwise(F.array(F.lit(None).cast("string")))
+    draw = F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    return {"sources": sources, "pattern": F.to_json(sources), "draw": draw, "bin": F.pmod(draw, F.lit(BINS)).cast("int")}
+
+
+def plan_mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = 42, max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", sources_col: str = "sources") -> MixPlan:
+    """Plan a mix of `docs`; `take` and `repeated` apply it.
+
+    `sources_col` is an array: a document may belong to several sources (null
+    entries are a source of their own; an empty or null array belongs to the null
+    source). A pattern's words are taken in whole passes over its documents plus
+    a part of one pass, in the order of a seeded hash of id and text, up to the
+    flow. Bins of that hash are summed first, and only the bin at the margin is
+    sorted, so a source with a third of the rows never meets in one task; the
+    plan is a row per pattern. Null and blank texts have size 0 and are never
+    taken. Rows alike in id and text are taken alike; other columns are not read.
+    """
+    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.xxhash64(text).alias("text_hash"),
-        F.when(some, F.array_sort(F.array_distinct(sources_col))).otherwise(F.array(F.lit(None).cast("string"))).alias("sources"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-    )
-    draw = F.xxhash64(F.lit(seed), "doc_id", "text_hash")
-    rows = store(rows.withColumns({"pattern": F.to_json("sources"), "draw": draw, "bin": F.pmod(draw, F.lit(BINS)).cast("int")}), "mix")
+    base = {"doc_id": F.col(id_col), "text_hash": F.xxhash64(text), "size": F.regexp_count(text, F.lit(WORD)).cast("long")}
+    rows = store(docs.select(*[c.alias(n) for n, c in {**base, **_keyed(docs, seed, id_col, text_col, sources_col)}.items()]), "mix")
     bins = store(rows.groupBy("pattern", "bin").agg(F.sum("size").alias("words"), F.first("sources").alias("sources")), "mix-bins")
     found = bins.groupBy("pattern").agg(F.sum("words").alias("words"), F.first("sources").alias("sources")).orderBy("pattern").limit(MAX_ARCS + 1).collect()
     if sum(len(r["sources"]) for r in found) > MAX_ARCS:
@@ -140,25 +156,48 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = 42, m
             sizes[s] = sizes.get(s, 0) + r["words"]
     targets = quotas(sizes, weights, float(max_repeats)) if sizes else {}
     flows = plan_flows({tuple(r["sources"]): r["words"] for r in found}, targets, max_repeats)
-    plan = []
+    passes = {}
     for r in found:
         taken, words = sum(flows[tuple(r["sources"])].values()), r["words"]
-        plan.append((r["pattern"], *(divmod(taken, words) if words else (0, 0))))
-    passes = spark.createDataFrame(plan, "pattern string, passes long, rest long")
+        passes[r["pattern"]] = divmod(taken, words) if words else (0, 0)
+    rest = spark.createDataFrame([(p, n) for p, (_, n) in passes.items()], "pattern string, rest long")
     before = F.coalesce(F.sum("words").over(Window.partitionBy("pattern").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    marked = bins.select("pattern", "bin", "words", before.alias("before")).join(F.broadcast(passes), "pattern")
-    planned = rows.join(marked, ["pattern", "bin"])
-    margin = (F.col("before") < F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words"))
-    ahead = F.coalesce(F.sum("size").over(Window.partitionBy("pattern", "bin").orderBy("draw", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    halves = F.col("before") + ahead + F.col("size") / 2 < F.col("rest")  # a document goes with the side its middle lies on
-    parts = [planned.where(margin).withColumn("extra", halves), planned.where(~margin).withColumn("extra", F.col("before") < F.col("rest"))]
-    repeats = F.when(F.col("size") > 0, F.col("passes") + F.col("extra").cast("long")).otherwise(F.lit(0)).alias("repeats")
-    return parts[0].unionByName(parts[1]).select("doc_id", "text_hash", "sources", "size", repeats), sizes, targets
+    sums = bins.select("pattern", "bin", "words", before.alias("before")).join(F.broadcast(rest), "pattern")
+    # The bin at the margin of each pattern: bins before it are taken whole, its documents up to the flow.
+    margin = sums.where("before < rest and rest <= before + words").select("pattern", "bin", "before", "rest")
+    ahead = F.coalesce(F.sum("size").over(Window.partitionBy("pattern").orderBy("draw", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = rows.where("size > 0").join(F.broadcast(margin), ["pattern", "bin"]).withColumn("middle", F.col("before") + ahead + F.col("size") / 2)
+    cut = inside.groupBy("pattern", "bin").agg(F.max(F.when(F.col("middle") < F.col("rest"), F.col("draw"))).alias("draw"))
+    least = -(2**63)
+    at = {r["pattern"]: (r["bin"], least if r["draw"] is None else r["draw"]) for r in cut.collect()}
+    return MixPlan([(p, n, *at.get(p, (-1, least))) for p, (n, _) in passes.items()], sizes, targets, seed, rows)
+
+
+def _repeats(spark: SparkSession, plan: MixPlan) -> tuple[DataFrame, Column]:
+    cuts = spark.createDataFrame(plan.cuts, "pattern string, passes long, cut_bin int, cut_draw long")
+    extra = (F.col("bin") < F.col("cut_bin")) | (F.col("bin") == F.col("cut_bin")) & (F.col("draw") <= F.col("cut_draw"))
+    return F.broadcast(cuts), F.col("passes") + extra.cast("long")
+
+
+def take(plan: MixPlan) -> DataFrame:
+    """doc_id, text_hash, sources, size, repeats (0 to max_repeats): a row per document."""
+    cuts, repeats = _repeats(plan.rows.sparkSession, plan)
+    return plan.rows.join(cuts, "pattern").select("doc_id", "text_hash", "sources", "size", F.when(F.col("size") > 0, repeats).otherwise(F.lit(0)).alias("repeats"))
+
+
+def repeated(docs: DataFrame, plan: MixPlan, sources: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, each as often as the plan takes it; texts stay where they lie."""
+    spark = docs.sparkSession
+    cuts, repeats = _repeats(spark, plan)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(whole.alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), sources.alias("sources"))
+    keys = {k: v for k, v in _keyed(rows, plan.seed, "id", "text", "sources").items() if k != "sources"}
+    taken = rows.withColumns(keys).where(F.col("text").rlike(WORD)).join(cuts, "pattern")
+    return taken.select("doc", F.explode(F.array_repeat(F.lit(0), repeats.cast("int"))).alias("copy")).select("doc.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("sources", F.array("source"))
-    taken, sizes, targets = mix(docs)
-    quota = spark.createDataFrame([(s, sizes[s], targets[s]) for s in sizes], "source string, source_size long, target double")
-    rows = taken.withColumn("name", F.col("sources")[0])
+    plan = plan_mix(table(spark, sf_dir, "documents").withColumn("sources", F.array("source")))
+    quota = spark.createDataFrame([(s, plan.sizes[s], plan.targets[s]) for s in plan.sizes], "source string, source_size long, target double")
+    rows = take(plan).withColumn("name", F.col("sources")[0])
     return rows.join(F.broadcast(quota), F.col("name").eqNullSafe(F.col("source"))).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))

