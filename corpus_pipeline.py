@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fieldstone.llm.bitplanes import op9_token_files
 from fieldstone.llm.common import new_path, store, table
 from fieldstone.llm.decontamination import decontaminate
-from fieldstone.llm.mixing import mix
+from fieldstone.llm.mixing import plan_mix, repeated
 from fieldstone.llm.quality import keep_good
 from fieldstone.llm.simhash import near_duplicates
 
@@ -47,10 +47,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, none to three times."""
-    taken, _, _ = mix(docs.select(_row_key().alias("doc_id"), "text", F.array("source").alias("sources")))
-    times = store(taken.where("repeats > 0").groupBy(F.col("doc_id").alias("_key")).agg(F.max("repeats").cast("int").alias("_times")), "times")
-    rows = docs.withColumn("_key", _row_key()).join(times, "_key")
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(docs.columns)
+    plan = plan_mix(docs.select("doc_id", "text", F.array("source").alias("sources")))
+    return repeated(docs, plan, F.array("source"))
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
