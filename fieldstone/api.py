@@ -36,7 +36,13 @@ def _plan(spec: ReadSpec) -> str:
 
 
 def _names(spark: SparkSession, paths: list[str], spec: ReadSpec, detector: Callable) -> tuple[list[str], list[str]]:
-    """(field names by the first file, all files); an empty first file has the schema's names."""
+    """(field names by the first file, its path); an empty first file has the schema's names.
+
+    Without a header a schema by position says how many fields there are, and no
+    file is looked at.
+    """
+    if not spec.dialect.header and spec.schema and not spec.schema.named:
+        return tk.header_names([], spec.dialect, len(spec.schema.fields)), []
     first = scan.files(spark, paths[:1])
     rows, width = scan.header_rows(spark, first[0], spec, detector) if first else ([], 0)
     names = tk.header_names(rows, spec.dialect, width)

@@ -46,17 +46,19 @@ def _ungrouped(v: Column, group: str | None) -> Column:
     return F.replace(v, F.lit(group), F.lit("")) if group else v
 
 
-_RANGES = {"byte": (0, 255), "short": (-(2**15), 2**15 - 1), "int": (-(2**31), 2**31 - 1), "long": (-(2**63), 2**63 - 1)}
+#: The whole-number types and the one range that is not a Spark type's own.
+_WHOLE = ("byte", "short", "int", "long")
+_BYTE = (0, 255)
 
 
 def _whole(v: Column, type_: str, fmt: Format | None) -> Column:
-    lo, hi = _RANGES[type_]
+    text = F.trim(v)
     if isinstance(fmt, (IntegerFormat, NumberFormat)):  # sign, exponent and groups
-        d = _ungrouped(F.trim(v), fmt.group).try_cast("decimal(38,6)")
-        n = F.when(d == F.floor(d), d).try_cast("decimal(20,0)")
+        d = _ungrouped(text, fmt.group).try_cast("decimal(38,6)")
+        n = F.when(d == F.floor(d), d).try_cast(SPARK_TYPES[type_])
     else:
-        n = F.when(F.trim(v).rlike("^[+-]?[0-9]+$"), F.trim(v)).try_cast("decimal(20,0)")
-    return F.when(n.between(F.lit(lo).cast("decimal(20,0)"), F.lit(hi).cast("decimal(20,0)")), n.cast(SPARK_TYPES[type_]))
+        n = text.try_cast(SPARK_TYPES[type_])
+    return F.when(n.between(*_BYTE), n) if type_ == "byte" else n
 
 
 def _real(v: Column, f: FieldSpec) -> Column:
@@ -177,7 +179,7 @@ def parse(value: Column, f: FieldSpec, parsers: Mapping[Any, Callable] | None =
     if f.type == "string":
         return value
     spark_type(f)
-    if f.type in _RANGES:
+    if f.type in _WHOLE:
         return _or_error(value, _whole(value, f.type, f.format), f)
     if f.type in ("float", "double", "decimal"):
         return _or_error(value, _real(value, f), f)

@@ -60,17 +60,71 @@ def text_files(spark: SparkSession, paths: Sequence[str], spec: ReadSpec, detect
     return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInArrow(run, "path string, text string")
 
 
+class _Batch:
+    """Records as the columns of an Arrow batch."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers, self.raws, self.errors, self.ends = [], [], [], [0]
+        self.values, self.quoted, self.escaped, self.children = [], [], [], []
+
+    def add(self, r: tk.Record) -> None:
+        self.numbers.append(r.number)
+        self.raws.append(r.raw)
+        self.errors.append(r.error)
+        for t in r.tokens:
+            self.values.append(t.value)
+            self.quoted.append(t.quoted)
+            self.escaped.append(t.escaped)
+            self.children.append(None if t.children is None else [c.value for c in t.children])
+        self.ends.append(len(self.values))
+
+    def add_plain(self, number: int, raw: str, cells: list[str]) -> None:
+        self.numbers.append(number)
+        self.raws.append(raw)
+        self.errors.append(None)
+        self.values += cells
+        self.ends.append(len(self.values))
+
+    def arrow(self) -> pa.RecordBatch:
+        n = len(self.values)
+        flags = [pa.array(x if x else [False] * n, pa.bool_()) for x in (self.quoted, self.escaped)]
+        children = pa.array(self.children, pa.list_(pa.string())) if any(c is not None for c in self.children) else pa.nulls(n, pa.list_(pa.string()))
+        tokens = pa.StructArray.from_arrays([pa.array(self.values, pa.string()), *flags, children], fields=list(_FIELD.value_type))
+        fields = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), tokens, type=_FIELD)
+        rows = len(self.numbers)
+        out = pa.RecordBatch.from_arrays([pa.array([self.path] * rows, pa.string()), pa.array(self.numbers, pa.int64()), pa.array(self.raws, pa.string()), fields, pa.array(self.errors, pa.string())], schema=_RECORDS)
+        self.clear()
+        return out
+
+
 def _rows(path: str, found: Iterator[tk.Record], skip: frozenset[int]) -> Iterator[pa.RecordBatch]:
-    rows: list[dict] = []
+    batch = _Batch(path)
     for r in found:
         if r.comment or r.number in skip:
             continue
-        fields = [{"value": t.value, "quoted": t.quoted, "escaped": t.escaped, "children": None if t.children is None else [c.value for c in t.children]} for t in r.tokens]
-        rows.append({"file": path, "record_no": r.number, "raw": r.raw, "fields": fields, "error": r.error})
-        if len(rows) == _BATCH:
-            yield pa.RecordBatch.from_pylist(rows, schema=_RECORDS)
-            rows = []
-    yield pa.RecordBatch.from_pylist(rows, schema=_RECORDS)
+        batch.add(r)
+        if len(batch.numbers) == _BATCH:
+            yield batch.arrow()
+    yield batch.arrow()
+
+
+def _plain_rows(path: str, text: str, d: Dialect, skip: frozenset[int]) -> Iterator[pa.RecordBatch]:
+    """The same for dialects of delimiters and terminators alone: nothing to match."""
+    lines = text.split(d.line_terminator)
+    if lines and not lines[-1]:
+        lines.pop()
+    batch = _Batch(path)
+    for number, line in enumerate(lines[max(d.header_rows, default=0) :], 1):
+        if number in skip:
+            continue
+        batch.add_plain(number, line, line.split(d.delimiter))
+        if len(batch.numbers) == _BATCH:
+            yield batch.arrow()
+    yield batch.arrow()
 
 
 def _headed(text: str, d: Dialect, mode: str) -> Iterator[tk.Record]:
@@ -86,11 +140,13 @@ def exact_records(spark: SparkSession, paths: Sequence[str], spec: ReadSpec, hea
     """
     d, mode, skip = spec.dialect, spec.options.mode, frozenset(spec.dialect.comment_rows)
     texts = text_files(spark, paths, spec, detector)
+    plain = not d.quote and not d.escape and not d.comment and not d.array and not d.skip_initial_space
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, text in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True):
-                yield from _rows(path, _headed(text, d.without_header() if path in headerless else d, mode), skip)
+                own = d.without_header() if path in headerless else d
+                yield from _plain_rows(path, text, own, skip) if plain else _rows(path, _headed(text, own, mode), skip)
 
     return texts.mapInArrow(run, RECORDS)
 
@@ -270,17 +326,35 @@ def native_rows(spark: SparkSession, paths: Sequence[str], spec: ReadSpec, width
     return reader.csv(list(paths))
 
 
+#: Lines of a file's head that the driver looks at for its header.
+_HEAD_LINES = 200
+
+
 def header_rows(spark: SparkSession, path: str, spec: ReadSpec, detector: Callable = detect) -> tuple[list[list[str]], int]:
-    """A file's header rows and the number of fields of its first record."""
+    """A file's header rows and the number of fields of its first record.
+
+    The first lines tell, where Spark reads the charset and they hold whole
+    records; else the exact tokenizer reads the file.
+    """
     d = spec.dialect
+    if _charset(spec) == "UTF-8" and not spec.resource.compression and detector is detect and spec.scan in ("native", "expression", "split"):
+        head = [r[0] for r in spark.read.option("lineSep", d.line_terminator).text(path).limit(_HEAD_LINES).collect()]
+        found = _first(d.line_terminator.join(head).removeprefix("\ufeff"), d)
+        if found[1] or len(head) < _HEAD_LINES:
+            return found
     texts = text_files(spark, [path], spec, detector)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text in b.column("text").to_pylist():
-                rows, rest = tk.split_header(tk.records(text, d, "permissive"), d)
-                first = next((r for r in rest if not r.comment and r.number not in d.comment_rows), None)
-                yield pa.record_batch([pa.array([rows], pa.list_(pa.list_(pa.string()))), pa.array([len(first.tokens) if first else 0], pa.int64())], names=["rows", "width"])
+                rows, width = _first(text, d)
+                yield pa.record_batch([pa.array([rows], pa.list_(pa.list_(pa.string()))), pa.array([width], pa.int64())], names=["rows", "width"])
 
     r = texts.mapInArrow(run, "rows array<array<string>>, width long").first()
     return (r["rows"], r["width"]) if r else ([], 0)
+
+
+def _first(text: str, d: Dialect) -> tuple[list[list[str]], int]:
+    rows, rest = tk.split_header(tk.records(text, d, "permissive"), d)
+    first = next((r for r in rest if not r.comment and r.number not in d.comment_rows), None)
+    return rows, len(first.tokens) if first else 0
