@@ -111,7 +111,7 @@ def clean(spark, value, quoted, escaped, read, f=None):
 
 @pytest.mark.parametrize(
     ("value", "quoted", "escaped", "want"),
-    [("(null)", False, False, None), ("(null)", True, False, "(null)"), ("", False, False, "-1"), ("", True, False, "-1"), ("NaN", False, False, "0"), ("a''b", True, True, "a'b"), ("a\;b\\x", False, True, "a;b\\x"), ("a\\\\'", True, True, "a\\'"), ("plain", False, False, "plain")],
+    [("(null)", False, False, None), ("(null)", True, False, "(null)"), ("", False, False, "-1"), ("", True, False, "-1"), ("NaN", False, False, "0"), ("a''b", True, True, "a'b"), ("a\\;b\\x", False, True, "a;b\\x"), ("a\\\\'", True, True, "a\\'"), ("plain", False, False, "plain")],
 )
 def test_sanitize(spark, value, quoted, escaped, want):
     read = S.ReadSpec(S.Dialect(";", quote="'", escape="\\", null_sequence="(null)"), resource=S.Resource(sequences={"": "-1"}))

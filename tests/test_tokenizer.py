@@ -64,7 +64,7 @@ def test_doubling_off_makes_doubled_quotes_malformed():
         values("'a''b'", d)
 
 
-@pytest.mark.parametrize("text", ["fo\;o;x", "'fo\\'o';x", "a\\\r\nb;x"])
+@pytest.mark.parametrize("text", ["fo\\;o;x", "'fo\\'o';x", "a\\\r\nb;x"])
 def test_escapes(text):
     (r,) = tk.records(text, ESC)
     assert len(r.tokens) == 2 and r.tokens[0].escaped
@@ -131,7 +131,7 @@ def test_count(text, n):
     assert tk.count_records(text, Dialect(";", quote="'")) == n
 
 
-LINES = ["foo;bar;", ";;", "", "''", "a'b;c", "'a;b';'c''d'", "'ab'x;c", "'open;x", "x;'open", "  a; b", "\;x;y", "'a\\'b';c", "é;\U0001f600", "'" + "x" * 100_000 + "';y"]
+LINES = ["foo;bar;", ";;", "", "''", "a'b;c", "'a;b';'c''d'", "'ab'x;c", "'open;x", "x;'open", "  a; b", "\\;x;y", "'a\\'b';c", "é;\U0001f600", "'" + "x" * 100_000 + "';y"]
 
 
 @pytest.mark.parametrize("d", [SEMI, ESC, Dialect(";", quote=None, header_rows=()), Dialect(";", quote="'", skip_initial_space=True, header_rows=()), Dialect("|", quote="'", double_quote=False, header_rows=())])
