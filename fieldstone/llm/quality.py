@@ -55,25 +55,37 @@ def _upto(a: Column, short: int) -> Column:
     return F.slice(a, 1, F.greatest(F.size(a) - short, F.lit(0)))
 
 
+#: Different repeated windows up to which each place is looked up among them.
+FEW = 24
+
+
 def repeat_words(w: Column, pairs: Column) -> Column:
     """Words in 3-word windows that stand twice or more in the text, the first included.
 
-    Windows are compared by their 64-bit hashes: sorted with their places, equal
-    neighbours are repeats, and the places' union is measured.
+    Windows are compared by their 64-bit hashes. Sorted, equal neighbours are
+    repeats: where those are few, places are looked up among them; else windows
+    are sorted with their places. The union of the places is measured.
     """
     windows = F.zip_with(_upto(pairs, 1), _from(w, 3), lambda p, c: F.xxhash64(p, c))
+    some = lambda a: F.filter(a, lambda x: x.isNotNull())
 
     def covered(places: Column) -> Column:
         steps = F.zip_with(_upto(places, 1), _from(places, 2), lambda a, b: F.least(b - a, F.lit(3)))
         return F.aggregate(steps, F.lit(3), lambda s, x: s + x).cast("long")
 
-    def places(s: Column) -> Column:
+    def sorted_places(s: Column) -> Column:
         both = F.zip_with(_upto(s, 1), _from(s, 2), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-        return F.sort_array(F.array_distinct(F.flatten(F.filter(both, lambda x: x.isNotNull()))))
+        return F.sort_array(F.array_distinct(F.flatten(some(both))))
 
     def repeated(h: Column) -> Column:
-        with_places = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(places(with_places), covered))
+        twice = lambda s: F.array_distinct(some(F.zip_with(_upto(s, 1), _from(s, 2), lambda a, b: F.when(a == b, a))))
+
+        def measured(again: Column) -> Column:
+            looked_up = some(F.transform(h, lambda x, i: F.when(F.array_contains(again, x), i)))
+            with_places = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+            return let(F.when(F.size(again) <= FEW, looked_up).otherwise(let(with_places, sorted_places)), covered)
+
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(let(F.sort_array(h), twice), measured))
 
     return let(windows, repeated)
 
