@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldstone.sources.storage import drop_stored, new_path, shared_dir, workers_import
 
-__all__ = ["SPACE", "WORD", "crc_mod", "drop_stored", "new_path", "parallelism", "shared_dir", "store", "table", "workers_import"]
+__all__ = ["SPACE", "WORD", "batch_rows", "crc_mod", "drop_stored", "new_path", "parallelism", "shared_dir", "store", "table", "workers_import"]
 
 #: ASCII white space, the separator of `[^\x20\x09-\x0D]+` words.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -28,6 +31,18 @@ def store(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Fewer rows to an Arrow batch while a job runs whose rows are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions for an explicit repartition: the session's own setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
