@@ -25,9 +25,9 @@ from fieldstone.llm.components import star_forest
 from fieldstone.llm.tokens import LOWER
 
 #: Distinct fingerprints that a shard holds on average, without its boundary.
-SHARD_ROWS = 20_000
+SHARD_ROWS = 5_000
 #: Fingerprints from which the upper tree is fitted, at most (all rows are indexed).
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 50_000
 MAX_SHARDS = 4_096
 LEAF_ROWS = 192
 #: A node stays whole if its boundary would hold more than this share.
