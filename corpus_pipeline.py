@@ -13,7 +13,7 @@ from fieldstone.llm.common import new_path, store, table
 from fieldstone.llm.decontamination import decontaminate
 from fieldstone.llm.mixing import plan_mix, repeated
 from fieldstone.llm.quality import keep_good
-from fieldstone.llm.simhash import near_duplicates
+from fieldstone.llm.similar import similar_groups
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,14 +27,15 @@ def _row_key() -> Column:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash group: the one of least doc_id.
+    """Keeps one document of each group of similar texts (five-word shingles, Jaccard 0.8): the one of least doc_id.
 
     Rows that repeat an id are one document. A null id stands after all others,
     in the order of its text's hash.
     """
-    ident = F.coalesce(F.col("doc_id"), F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 61)))
-    groups = near_duplicates(docs.select(ident.alias("doc_id"), "text"))
-    kept = store(groups.where("doc_id = component_id").select(F.col("doc_id").alias("_ident")).distinct(), "kept")
+    node = F.xxhash64(F.coalesce("text", F.lit("")))
+    ident = F.coalesce(F.col("doc_id"), F.lit(1 << 62) + F.pmod(node, F.lit(1 << 61)))
+    first = docs.groupBy(node.alias("node")).agg(F.min(ident).alias("_ident"))
+    kept = store(first.join(similar_groups(docs), "node").groupBy("label").agg(F.min("_ident").alias("_ident")).select("_ident").distinct(), "kept")
     return docs.withColumn("_ident", ident).join(kept, "_ident", "left_semi").dropDuplicates(["_ident"]).select(docs.columns)
 
 
