@@ -1,8 +1,9 @@
 """Operator 10, PII: patterns find protected entities, corpus co-occurrence finds terms that reveal them.
 
-DataFrame functions only. An entity is a found value (an address, a number).
-Terms beside its mentions are counted over documents; the disclosure of term t
-about entity e is PMI(e, t) / IC(e) = log(n(e,t) N / (n(e) n(t))) / log(N / n(e)),
+DataFrame functions only. An entity is a found value (an address, a number), or
+all values of a kind or an e-mail domain, so that values which occur once count too.
+Terms of the texts that mention it are counted over documents; the disclosure of
+term t about entity e is PMI(e, t) / IC(e) = log(n(e,t) N / (n(e) n(t))) / log(N / n(e)),
 1 where the term implies the entity. At or above a threshold the term's mentions
 are generalised, and removed above a higher one.
 """
@@ -30,12 +31,14 @@ _PATTERNS = {
 KINDS = (*_PATTERNS, "hint", "reveal")
 TERM = r"[\p{L}\p{N}]+"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: Stands for a span within a text; no character.
+_GAP = "\U0010ffff"
 _SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
 @dataclass(frozen=True)
 class DisclosureParams:
-    """reach: characters beside a mention whose terms count; min_docs: documents that a pair must share."""
+    """reach: characters beside a mention in which terms that tell a kind or domain go; min_docs: documents that a pair must share."""
 
     reach: int = 64
     min_docs: int = 3
@@ -101,15 +104,24 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def _beside(text: Column, span: Column, reach: int) -> Column:
-    """Whole terms within `reach` characters before or after a span: array<struct<start, end, value>>."""
-    first = F.greatest(span["start"] - reach, F.lit(0))
-    left = F.substr(text, first + 1, span["start"] - first)
-    right = F.substr(text, span["end"] + 1, F.lit(reach))
-    moved = lambda ms, by: F.transform(ms, lambda m: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), F.lower(m["value"]).alias("value")))
-    whole_left = F.filter(matches(left, TERM), lambda m: (m["start"] > 0) | (first == 0))
-    whole_right = F.filter(matches(right, TERM), lambda m: (m["start"] > 0) & ((m["end"] < reach) | (span["end"] + reach >= F.length(text))))
-    return F.concat(moved(F.filter(whole_left, lambda m: m["end"] < F.length(left)), first), moved(whole_right, span["end"]))
+def _outside_terms(text: Column, spans: Column) -> Column:
+    """Distinct lower-case terms of a text that touch none of `spans`."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(_GAP)).alias("out"))
+    blanked = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+    found = F.regexp_extract_all(F.lower(blanked), F.lit(f"[\\p{{L}}\\p{{N}}{_GAP}]+"), F.lit(0))
+    return F.filter(F.array_distinct(found), lambda t: ~F.contains(t, F.lit(_GAP)))
+
+
+def _entities(span: Column) -> Column:
+    """The entities of a span: its value, and as pools its kind and an e-mail's domain."""
+    kind, value = span["kind"].cast("string"), F.lower(span["value"])
+    domain = F.when(span["kind"] == 0, F.concat(F.lit("@"), F.substring_index(value, "@", -1)))
+    return F.array_compact(F.array(F.concat_ws(":", kind, value), kind, domain))
+
+
+def _pooled(entity: Column) -> Column:
+    return ~F.contains(entity, F.lit(":"))
 
 
 def _equals(k: int) -> Callable[[Column], Column]:
@@ -121,29 +133,32 @@ def _spell(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def disclosing_terms(found: DataFrame, texts: DataFrame, p: DisclosureParams) -> DataFrame:
-    """(entity, term, disclosure) of pairs at or above p.generalise.
+def disclosing_terms(found: DataFrame, texts: DataFrame, p: DisclosureParams) -> tuple[DataFrame, DataFrame]:
+    """Pairs (key, entity, term) of the texts, and (entity, term, disclosure) at or above p.generalise.
 
-    found: key, mentions of (entity, terms). All counts are documents: of a pair
-    beside each other, of the entity, and of the term anywhere in any document.
+    found: key, entities, words. All counts are documents: of a pair in one text,
+    of the entity, and of the term. Entities of fewer than p.min_docs documents
+    share no pair that often; they count in their pools.
     """
     n_docs = texts.count()
-    pairs = found.select("key", F.explode("mentions").alias("m")).select("key", "m.entity", F.explode("m.terms").alias("t")).select("key", "entity", F.col("t.value").alias("term"))
-    together = pairs.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= p.min_docs)
-    entities = found.select("key", F.explode("mentions.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    mentioned = found.select("key", F.explode("entities").alias("entity"), "words").distinct()
+    entities = store(mentioned.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= p.min_docs), "entity-counts")
+    pairs = mentioned.join(entities, "entity").select("key", "entity", "n_entity", F.explode("words").alias("term"))
+    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity")).where(F.col("n_both") >= p.min_docs)
     terms = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     pmi = F.log(F.col("n_both") * F.lit(float(n_docs)) / (F.col("n_entity") * F.col("n_term")))
     known = F.log(F.lit(float(n_docs)) / F.col("n_entity"))
-    scored = together.join(entities, "entity").join(terms, "term").select("entity", "term", F.when(known > 0, pmi / known).otherwise(0.0).alias("disclosure"))
-    return scored.where(F.col("disclosure") >= p.generalise)
+    scored = together.join(terms, "term").select("entity", "term", F.when(known > 0, pmi / known).otherwise(0.0).alias("disclosure"))
+    return pairs, store(scored.where(F.col("disclosure") >= p.generalise), "telling")
 
 
 def find_personal(docs: DataFrame, p: DisclosureParams = DisclosureParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, text_hash, n_email, n_ip, n_card, n_phone, base_sha256, spans, all_spans.
 
     Base spans always stay. Terms that disclose an entity get spans of kind
-    `hint` (generalise) or `reveal` (remove) where they stand within p.reach
-    characters of a mention of that entity and outside base spans. `spans` spells
+    `hint` (generalise) or `reveal` (remove) outside base spans: those of a value
+    anywhere in its texts, those of a kind or domain within p.reach characters of
+    a mention. `spans` spells
     all spans as kind:start:end; all_spans holds them as structs. Places are code
     points, ends exclusive. A null text counts as empty; rows that agree in id
     and text get the same spans, repeated and null ids keep their own rows; an
@@ -154,16 +169,22 @@ def find_personal(docs: DataFrame, p: DisclosureParams = DisclosureParams(), id_
     hashed = F.xxhash64("text")
     key = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), hashed)
     outside = lambda t, spans: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    entity = lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"]))
-    mentions = F.transform("base", lambda s: F.struct(entity(s).alias("entity"), F.filter(_beside(F.col("text"), s, p.reach), lambda t: outside(t, F.col("base"))).alias("terms")))
-    located = rows.withColumn("base", base_spans(F.col("text"))).select("doc_id", hashed.alias("text_hash"), key.alias("key"), "base", mentions.alias("mentions"))
+    entities = F.array_distinct(F.flatten(F.transform("base", _entities)))
+    some = F.size("base") > 0
+    located = rows.withColumn("base", base_spans(F.col("text"))).select("doc_id", hashed.alias("text_hash"), key.alias("key"), "base", F.when(some, F.col("text")).alias("text"), F.when(some, _outside_terms(F.col("text"), F.col("base"))).alias("words"))
     found = store(located, "entities")
-    telling = store(disclosing_terms(found.where(F.size("base") > 0), rows, p), "telling")
-    at = found.where(F.size("base") > 0).select("key", F.explode("mentions").alias("m")).select("key", "m.entity", F.explode("m.terms").alias("t")).select("key", "entity", F.col("t.value").alias("term"), "t.start", "t.end")
-    kind = F.when(F.max("disclosure") >= p.remove, KINDS.index("reveal")).otherwise(KINDS.index("hint"))
-    more = at.join(telling, ["entity", "term"]).groupBy("key", "start", "end", "term").agg(kind.alias("kind"))
-    more = more.groupBy("key").agg(F.collect_list(F.struct("start", "kind", "end", F.col("term").alias("value"))).alias("more"))
-    every = found.drop("mentions").join(more, "key", "left").withColumn("all_spans", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(f"array<{_SPAN}>")))))
+    holding = found.where(some)
+    pairs, telling = disclosing_terms(holding.select("key", entities.alias("entities"), "words"), rows, p)
+    told = pairs.join(telling, ["entity", "term"]).groupBy("key").agg(F.collect_set(F.struct("term", "entity", "disclosure")).alias("told"))
+    beside = lambda t, s: ((s["start"] - p.reach <= t["start"]) & (t["end"] < s["start"])) | ((s["end"] < t["start"]) & (t["end"] <= s["end"] + p.reach))
+    applies = lambda t: lambda x: (x["term"] == F.lower(t["value"])) & (~_pooled(x["entity"]) | F.exists("base", lambda s: F.array_contains(_entities(s), x["entity"]) & beside(t, s)))
+    scored = lambda t: F.struct(t.alias("t"), F.array_max(F.transform(F.filter("told", applies(t)), lambda x: x["disclosure"])).alias("disclosure"))
+    words_told = F.transform("told", lambda x: x["term"])
+    places = F.filter(matches(F.col("text"), TERM), lambda t: F.array_contains(words_told, F.lower(t["value"])) & outside(t, F.col("base")))
+    kind = F.when(F.col("p.disclosure") >= p.remove, KINDS.index("reveal")).otherwise(KINDS.index("hint"))
+    more = holding.dropDuplicates(["key"]).join(told, "key").select("key", F.explode(F.transform(places, scored)).alias("p")).where("p.disclosure is not null")
+    more = more.groupBy("key").agg(F.collect_list(F.struct(F.col("p.t.start").alias("start"), kind.alias("kind"), F.col("p.t.end").alias("end"), F.lower("p.t.value").alias("value"))).alias("more"))
+    every = found.drop("text", "words").join(more, "key", "left").withColumn("all_spans", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(f"array<{_SPAN}>")))))
     counts = [F.size(F.filter(F.col("base.kind"), _equals(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(_PATTERNS)]
     return every.select("doc_id", "text_hash", *counts, F.sha2(_spell(F.col("base")), 256).alias("base_sha256"), _spell(F.col("all_spans")).alias("spans"), "all_spans")
 

@@ -117,6 +117,18 @@ def test_disclosing_terms(spark):
     assert clean[1] == "The agent   writes  <EMAIL> today about cheese" and clean[100] == rows[6][1]
 
 
+def test_rare_entities_and_far_terms(spark):
+    """Values that occur once are pooled; terms far from a repeated value count."""
+    far = "plain words of no weight " * 8
+    rows = [(i, f"Some dossier mailbox tom{i}@acme{i}.com is used") for i in range(8)]
+    rows += [(50 + i, f"Tarantella {far} write to bob@mail.com") for i in range(4)]
+    rows += [(100 + i, f"{far} Some is used to write") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: {s["value"] for s in r["all_spans"] if s["kind"] > 3} for r in pii.find_personal(df).collect()}
+    assert all({"dossier", "mailbox"} == got[i] for i in range(8))
+    assert all(got[50 + i] == {"tarantella"} for i in range(4)) and not any(got[100 + i] for i in range(60))
+
+
 def test_redact_overlaps(spark):
     spans = [(0, 0, 5, "x"), (3, 1, 8, "y"), (9, 5, 10, "z")]
     df = spark.createDataFrame([("0123456789ab", spans)], "t string, s array<struct<start:int,kind:int,end:int,value:string>>")
