@@ -29,14 +29,16 @@ def _row_key() -> Column:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of similar texts (five-word shingles, Jaccard 0.8): the one of least doc_id.
 
-    Rows that repeat an id are one document. A null id stands after all others,
-    in the order of its text's hash.
+    Rows that repeat an id and its text are one document; of an id's texts in
+    one group that of least hash stays. A null id stands after all others, in the
+    order of its text's hash.
     """
     node = F.xxhash64(F.coalesce("text", F.lit("")))
     ident = F.coalesce(F.col("doc_id"), F.lit(1 << 62) + F.pmod(node, F.lit(1 << 61)))
-    first = docs.groupBy(node.alias("node")).agg(F.min(ident).alias("_ident"))
-    kept = store(first.join(similar_groups(docs), "node").groupBy("label").agg(F.min("_ident").alias("_ident")).select("_ident").distinct(), "kept")
-    return docs.withColumn("_ident", ident).join(kept, "_ident", "left_semi").dropDuplicates(["_ident"]).select(docs.columns)
+    first = docs.groupBy(node.alias("_node")).agg(F.min(ident).alias("_ident"))
+    least = F.min(F.struct("_ident", "_node")).alias("least")
+    kept = store(first.join(similar_groups(docs).withColumnRenamed("node", "_node"), "_node").groupBy("label").agg(least).select("least.*"), "kept")
+    return docs.withColumns({"_ident": ident, "_node": node}).join(kept, ["_ident", "_node"], "left_semi").dropDuplicates(["_ident", "_node"]).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,6 +37,16 @@ def test_stage_drops_similar_texts(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted({i for i, _ in rows} - gone)
 
 
+def test_texts_of_one_id_stay(spark):
+    """Unlike texts that share an id all stay; copies under it go."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3)]
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[1]), (7, texts[0] + " more"), (8, texts[1]), (None, texts[2]), (None, texts[2])]
+    got = cp.near_dedup(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS), "").collect()
+    kept = [(r["doc_id"], r["text"].removesuffix(" more")) for r in got]
+    assert sorted(kept, key=str) == sorted([(7, texts[0]), (7, texts[1]), (None, texts[2])], key=str)
+
+
 def test_roots_match_all_pairs():
     rng = np.random.default_rng(3)
     base = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(30)]
