@@ -25,14 +25,22 @@ _TERM_BYTES = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or
 
 @dataclass(frozen=True)
 class FMParams:
-    """max_rows bounds the labelled sample the model is fitted on (rows of least hash)."""
+    """max_rows bounds the labelled sample the model is fitted on (rows of least hash).
+
+    A bucket takes part if its own toxic rows differ from chance by min_strength
+    standard deviations, or those of a pair do from what either bucket and chance
+    lead to expect, by min_pair_strength, as there are many more pairs. Pairs are
+    looked at among the pair_terms most frequent and the pair_terms strongest
+    buckets, so that their counts stay a few megabytes.
+    """
 
     buckets: int = 1 << 19
     factors: int = 4
     max_rows: int = 16_000
     min_docs: int = 4
-    #: Standard deviations by which a bucket's toxic rows must differ from chance.
     min_strength: float = 4.0
+    min_pair_strength: float = 7.0
+    pair_terms: int = 768
     epochs: int = 10
     batch: int = 256
     rate: float = 0.1
@@ -77,11 +85,45 @@ def hashed_terms(text: str | None, buckets: int) -> np.ndarray:
     return np.unique(np.array(found, dtype=np.uint32) & np.uint32(buckets - 1)).astype(np.int32)
 
 
+def _strength(toxic: np.ndarray, n: np.ndarray, rate: np.ndarray | float) -> np.ndarray:
+    """Standard deviations by which `toxic` of `n` rows differ from a share of `rate`, which is kept off 0 and 1."""
+    rate = np.clip(rate, 0.01, 0.99)
+    return np.abs(toxic - n * rate) / np.sqrt(np.maximum(n, 1) * rate * (1 - rate))
+
+
+def interacting(rows: list[np.ndarray], labels: np.ndarray, some: np.ndarray, alone: np.ndarray, p: FMParams) -> np.ndarray:
+    """The buckets of `some` that tell with a partner there what neither tells alone; alone: their own toxic shares."""
+    number = np.full(p.buckets, -1, dtype=np.int64)
+    number[some] = np.arange(len(some))
+    both, toxic = (np.zeros((len(some), len(some)), dtype=np.float32) for _ in range(2))
+    for at in range(0, len(rows), 2_048):
+        part, y = rows[at : at + 2_048], labels[at : at + 2_048].astype(bool)
+        x = np.zeros((len(part), len(some)), dtype=np.float32)
+        for i, r in enumerate(part):
+            k = number[r]
+            x[i, k[k >= 0]] = 1
+        both += x.T @ x
+        toxic += x[y].T @ x[y]
+    np.fill_diagonal(both, 0)
+    strength = np.minimum.reduce([_strength(toxic, both, e) for e in (labels.mean(), alone[:, None], alone[None, :])])
+    return some[((both >= p.min_docs) & (strength >= p.min_pair_strength)).any(axis=1)]
+
+
+def active_buckets(rows: list[np.ndarray], labels: np.ndarray, p: FMParams) -> np.ndarray:
+    """The buckets that tell labels apart, alone or in pairs."""
+    df = np.bincount(np.concatenate(rows), minlength=p.buckets)
+    toxic = np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y]), minlength=p.buckets)
+    seen = np.flatnonzero(df >= p.min_docs)
+    strength = _strength(toxic[seen], df[seen], labels.mean())
+    most = lambda x: seen[np.argsort(-x, kind="stable")[: p.pair_terms]]
+    some = np.union1d(most(df[seen]), most(strength))
+    return np.union1d(seen[strength >= p.min_strength], interacting(rows, labels, some, (toxic[some] + labels.mean()) / (df[some] + 1), p))
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, p: FMParams) -> FMModel:
     """Logistic loss, AdaGrad, mini-batches in a seeded order; the same rows give the same model.
 
-    Buckets in fewer than min_docs rows, or of min_strength less, keep weight
-    zero. Without rows, or with one label only, the model is the smoothed share
+    Buckets that `active_buckets` leaves out keep weight zero. Without rows, or with one label only, the model is the smoothed share
     of that label.
     """
     weights, factors = np.zeros(p.buckets, dtype=np.float32), np.zeros((p.buckets, p.factors), dtype=np.float32)
@@ -89,11 +131,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, p: FMParams) -> FMModel:
     model = FMModel(float(np.log(share / (1 - share))) if len(labels) else -20.0, weights, factors)
     if len(rows) == 0 or labels.min() == labels.max():
         return model
-    df = np.bincount(np.concatenate(rows), minlength=p.buckets)
-    toxic = np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y]), minlength=p.buckets)
-    rate = labels.mean()
-    strength = np.abs(toxic - df * rate) / np.sqrt(np.maximum(df, 1) * rate * (1 - rate))
-    active = np.flatnonzero((df >= p.min_docs) & (strength >= p.min_strength))
+    active = active_buckets(rows, labels, p)
     number = np.full(p.buckets, -1, dtype=np.int32)
     number[active] = np.arange(len(active))
     rows = [(n := number[r])[n >= 0] for r in rows]
