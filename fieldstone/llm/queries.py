@@ -41,10 +41,15 @@ sizes AS (SELECT DISTINCT len(g) AS k FROM win),
 gram AS (SELECT doc_id, i, k, list_slice(w, i, i + k - 1) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM doc), sizes WHERE i + k - 1 <= len(w)),
 found AS (SELECT doc_id, i, k, item_id FROM gram JOIN win USING (g)),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM found) GROUP BY doc_id),
-items AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM found GROUP BY doc_id)
+items AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM found GROUP BY doc_id),
+often AS (SELECT term, count(*) AS n FROM (SELECT unnest(w) AS term FROM doc) GROUP BY term),
+need AS (SELECT item_id, ts, arg_min(term, coalesce(n, 0)) AS rare FROM (SELECT DISTINCT item_id, list_sort(list_distinct(g)) AS ts, unnest(list_distinct(g)) AS term FROM win) LEFT JOIN often USING (term) GROUP BY item_id, ts),
+place AS (SELECT doc_id, i, w[i] AS rare, w FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM doc) SEMI JOIN need ON need.rare = w[i]),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM place JOIN need USING (rare)
+  WHERE list_has_all(list_slice(w, greatest(1, i - 19), i + 19), ts) AND len(list_filter(range(greatest(1, i - 19), i + 1), lambda s: list_has_all(list_slice(w, s, s + 19), ts))) > 0 GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
-  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """,
     "op3_line_dedup": r"""
 WITH line AS (SELECT doc_id, text, i - 1 AS pos, list_filter(regexp_split_to_array(l[i], '[\x20\x09-\x0D]+'), lambda t: t <> '') AS raw

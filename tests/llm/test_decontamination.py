@@ -73,6 +73,26 @@ def test_empty_tables(spark, case, empty):
 
 def test_segments_do_not_change_results(spark, case):
     docs, items = frames(spark, case)
-    ph = dc.Phrases([(str(i), t) for i, t in case[1] if i is not None and t is not None], 10)
-    small = dc.search(dc.build_index(docs, ph.terms, segment_words=500), ph, 20).mapInArrow(dc._digest, dc._RESULT)
-    assert as_rows(small) == want(case)
+    assert as_rows(dc.search_items(dc.build_index(docs, segment_words=500), items)) == want(case)
+
+
+def test_one_index_serves_test_sets(spark, case):
+    """The index holds terms of the documents, not of a test set."""
+    docs, items = frames(spark, case)
+    index = dc.build_index(docs)
+    assert as_rows(dc.search_items(index, items)) == want(case)
+    other = spark.createDataFrame([("z", case[0][0][1])], "item_id string, text string")
+    hit = {r["doc_id"] for r in dc.search_items(index, other).collect() if r["contaminated"]}
+    assert case[0][0][0] in hit
+
+
+def test_near_by_brute_force(spark):
+    """Random words of a small vocabulary, so that many windows have their terms close by in any order."""
+    import random
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abcdefghijklmnop", k=rng.randint(0, 90))) for _ in range(60)]
+    items = [(str(i), " ".join(rng.choices("abcdefghijklmnop", k=rng.randint(1, 14)))) for i in range(25)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    got = dc.decontaminate(docs, spark.createDataFrame(items, "item_id string, text string"))
+    assert as_rows(got) == Counter((i, *brute(t, items, 20)) for i, t in enumerate(texts))
