@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldstone.sources.storage import drop_stored, new_path, shared_dir, workers_import
 
-__all__ = ["SPACE", "WORD", "batch_rows", "crc_mod", "drop_stored", "new_path", "parallelism", "shared_dir", "store", "table", "workers_import"]
+__all__ = ["SPACE", "WORD", "batch_rows", "crc_mod", "drop_stored", "new_path", "parallelism", "shared_dir", "spread_join", "store", "table", "workers_import"]
 
 #: ASCII white space, the separator of `[^\x20\x09-\x0D]+` words.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -51,3 +51,21 @@ def parallelism(spark: SparkSession) -> int:
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id's text modulo n: the fold of a document (null id: of the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+#: A key is hot if it has more than one in so many of the rows; there are fewer hot keys than that.
+HOT = 2_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], rows: str) -> DataFrame:
+    """The inner join of two stored tables, where no task gets all rows of a hot key.
+
+    `right` has one row for each key, with the number of the key's rows in `left`
+    in its column `rows`, which is dropped. Hot keys, fewer than HOT of them, are
+    broadcast and their rows joined where they lie; the others are shuffled.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    hot = right.where(F.col(rows) * HOT > total).drop(rows)
+    rest = right.where(F.col(rows) * HOT <= total).drop(rows)
+    spread = left.join(F.broadcast(hot), on)
+    return spread.unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on))

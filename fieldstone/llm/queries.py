@@ -52,15 +52,16 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """,
     "op3_line_dedup": r"""
-WITH line AS (SELECT doc_id, text, i - 1 AS pos, list_filter(regexp_split_to_array(l[i], '[\x20\x09-\x0D]+'), lambda t: t <> '') AS raw
-  FROM (SELECT doc_id, text, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))),
-cell AS (SELECT doc_id, pos, tok, len(tok) AS n, array_to_string(list_slice(tok, 1, 4), ' ') AS head
-  FROM (SELECT doc_id, pos, list_transform(raw, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tok FROM line) WHERE len(tok) >= 5),
+WITH line AS (SELECT doc_id, i - 1 AS pos, l[i] AS line, list_filter(regexp_split_to_array(l[i], '[\x20\x09-\x0D]+'), lambda t: t <> '') AS raw
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))),
+cell AS (SELECT doc_id, pos, line, tok, len(tok) AS n, array_to_string(list_slice(tok, 1, 4), ' ') AS head
+  FROM (SELECT doc_id, pos, line, list_transform(raw, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tok FROM line) WHERE len(tok) > 0),
 leaf AS (SELECT n, head FROM cell GROUP BY n, head HAVING count(DISTINCT doc_id) >= 4),
 live AS (SELECT * FROM cell JOIN leaf USING (n, head)),
 pick AS (SELECT n, head, i, count(DISTINCT t) AS kinds FROM (SELECT n, head, unnest(range(1, len(tok) + 1)) AS i, unnest(tok) AS t FROM live) GROUP BY n, head, i HAVING i > 4 AND kinds > 8),
 wide AS (SELECT n, head, list(i) AS v FROM pick GROUP BY n, head),
-shaped AS (SELECT doc_id, pos, n, head, list_transform(range(1, len(tok) + 1), lambda i: CASE WHEN list_contains(coalesce(v, []), i) THEN '<*>' ELSE tok[i] END) AS shape FROM live LEFT JOIN wide USING (n, head)),
+formed AS (SELECT doc_id, pos, line, n, head, list_transform(range(1, len(tok) + 1), lambda i: CASE WHEN list_contains(coalesce(v, []), i) THEN '<*>' ELSE tok[i] END) AS form FROM live LEFT JOIN wide USING (n, head)),
+shaped AS (SELECT doc_id, pos, n, head, CASE WHEN len(list_filter(form, lambda t: t <> '<*>')) * 100 >= 60 * n THEN 'template ' || array_to_string(form, ' ') ELSE 'line ' || line END AS shape FROM formed),
 again AS (SELECT n, head, shape FROM shaped GROUP BY n, head, shape HAVING count(DISTINCT doc_id) >= 4),
 gone AS (SELECT doc_id, list(DISTINCT pos) AS gone FROM shaped JOIN again USING (n, head, shape) GROUP BY doc_id)
 SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped,
