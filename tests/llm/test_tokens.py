@@ -45,6 +45,23 @@ def test_counts_match_library(spark, clashing, documents, library):
     assert Counter(map(tuple, got)) == Counter(want)
 
 
+def test_warm_cache_encodes_nothing(spark, docs, monkeypatch):
+    from fieldstone.llm import token_counts as tc
+
+    encoded, fill = [], tc.fill_cache
+    monkeypatch.setattr(tc, "fill_cache", lambda *a: encoded.append(fill(*a)) or encoded[-1])
+    at = new_path(spark, "t")
+    spark.conf.set(tc.CACHE_SETTING, at)
+    try:
+        got = [sorted(map(tuple, tc.op7_token_counts(spark, "/root/testdata/sf0.001").collect())) for _ in range(2)]
+    finally:
+        spark.conf.unset(tc.CACHE_SETTING)
+    distinct = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(tc._content(tc.F.col("text"), WORDS)).distinct().count()
+    assert encoded == [distinct, 0] and got[0] == got[1]
+    count_tokens(docs, WORDS, at).count()
+    assert encoded[2] < docs.select("text").distinct().count()  # only what the first table lacks
+
+
 def test_cache_is_joined_and_appended(spark, docs, empty):
     at = new_path(spark, "t")
     some = docs.where("doc_id < 100")
