@@ -31,8 +31,6 @@ _PATTERNS = {
 KINDS = (*_PATTERNS, "hint", "reveal")
 TERM = r"[\p{L}\p{N}]+"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: Stands for a span within a text; no character.
-_GAP = "\U0010ffff"
 _SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
@@ -46,6 +44,33 @@ class DisclosureParams:
     remove: float = 0.95
 
 
+#: Elements that a running value goes over at a time.
+_CHUNK = 256
+
+
+def running(values: Column, kind: str, combine: Callable[[Column, Column], Column]) -> Column:
+    """Each element combined with all before it; kind: the elements' SQL type.
+
+    Chunks first, then the chunks' totals, so that no array grows element by
+    element beyond the number of chunks.
+    """
+
+    def along(part: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        step = lambda acc, x: let(combine(acc["at"], x), lambda v: F.struct(v.alias("at"), F.array_append(acc["out"], v).alias("out")))
+        return F.aggregate(part, start, step)["out"]
+
+    def over(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(F.slice(c, 2, _CHUNK), c[0], combine))
+        before = let(along(F.slice(totals, 2, F.size(totals)), totals[0]), lambda rest: F.concat(F.slice(totals, 1, 1), rest))
+        rest = F.zip_with(F.slice(chunks, 2, F.size(chunks)), F.slice(before, 1, F.greatest(F.size(chunks) - 1, F.lit(0))), lambda c, b: along(c, b))
+        first = F.concat(F.array(chunks[0][0]), along(F.slice(chunks[0], 2, _CHUNK), chunks[0][0]))
+        return F.concat(first, F.flatten(rest))
+
+    chunked = lambda v: let(F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _CHUNK).cast("int")), lambda c: F.slice(v, c * _CHUNK + 1, F.lit(_CHUNK))), over)
+    return let(values, lambda v: F.when(F.size(v) == 0, F.array().cast(f"array<{kind}>")).otherwise(chunked(v)))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>>: leftmost non-overlapping matches, in code points.
 
@@ -53,16 +78,13 @@ def matches(text: Column, pattern: str) -> Column:
     the text, so running sums of their lengths are the places.
     """
     gaps = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["value"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))).alias("out"))
+    def placed(m: Column) -> Column:
+        lengths = F.zip_with(F.slice(gaps, 1, F.size(m)), m, lambda g, v: F.length(g) + F.length(v))
+        ends = running(lengths, "int", lambda a, b: a + b)
+        return F.zip_with(m, ends, lambda v, e: F.struct((e - F.length(v)).alias("start"), e.alias("end"), v.alias("value")))
 
-    pairs = let(found, lambda m: F.zip_with(F.slice(gaps, 1, F.size(m)), m, lambda g, v: F.struct(g.alias("gap"), v.alias("value"))))
-    return F.aggregate(pairs, start, step)["out"]
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def _digits(v: Column) -> Column:
@@ -104,13 +126,30 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
+def beside(terms: Column, spans: Column) -> Column:
+    """array<struct<t, before, after>>: each term with the end of the spans that begin up to it, and the start of the next one.
+
+    Terms and spans are laid in one order; running values over it give each
+    term its neighbours, whatever the number of spans. Places without a span
+    are far away.
+    """
+    far = 1 << 30
+    event = lambda kind: lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("term"), x["end"].alias("end"), x["value"].alias("value"))
+
+    def joined(e: Column) -> Column:
+        before = running(F.transform(e, lambda x: F.when(x["term"] == 0, x["end"]).otherwise(-far)), "int", lambda a, b: F.greatest(a, b))
+        after = F.reverse(running(F.reverse(F.transform(e, lambda x: F.when(x["term"] == 0, x["start"]).otherwise(far))), "int", lambda a, b: F.least(a, b)))
+        at = F.zip_with(e, before, lambda x, b: F.struct(x.alias("t"), b.alias("before")))
+        each = F.zip_with(at, after, lambda x, a: F.struct(x["t"].alias("t"), x["before"].alias("before"), a.alias("after")))
+        return F.filter(each, lambda x: x["t"]["term"] == 1)
+
+    return let(F.sort_array(F.concat(F.transform(spans, event(0)), F.transform(terms, event(1)))), joined)
+
+
 def _outside_terms(text: Column, spans: Column) -> Column:
     """Distinct lower-case terms of a text that touch none of `spans`."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(_GAP)).alias("out"))
-    blanked = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-    found = F.regexp_extract_all(F.lower(blanked), F.lit(f"[\\p{{L}}\\p{{N}}{_GAP}]+"), F.lit(0))
-    return F.filter(F.array_distinct(found), lambda t: ~F.contains(t, F.lit(_GAP)))
+    apart = F.filter(beside(matches(text, TERM), spans), lambda x: (x["before"] < x["t"]["start"]) & (x["after"] > x["t"]["end"]))
+    return F.array_distinct(F.transform(apart, lambda x: F.lower(x["t"]["value"])))
 
 
 def _entities(span: Column) -> Column:
@@ -136,13 +175,13 @@ def _spell(spans: Column) -> Column:
 def disclosing_terms(found: DataFrame, texts: DataFrame, p: DisclosureParams) -> tuple[DataFrame, DataFrame]:
     """Pairs (key, entity, term) of the texts, and (entity, term, disclosure) at or above p.generalise.
 
-    found: key, entities, words. All counts are documents: of a pair in one text,
+    found: key, entities, words, a row for each key. All counts are documents: of a pair in one text,
     of the entity, and of the term. Entities of fewer than p.min_docs documents
     share no pair that often; they count in their pools.
     """
     n_docs = texts.count()
-    mentioned = found.select("key", F.explode("entities").alias("entity"), "words").distinct()
-    entities = store(mentioned.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= p.min_docs), "entity-counts")
+    mentioned = found.select("key", F.explode("entities").alias("entity"), "words")
+    entities = store(mentioned.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= p.min_docs), "entity-counts")
     pairs = mentioned.join(entities, "entity").select("key", "entity", "n_entity", F.explode("words").alias("term"))
     together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity")).where(F.col("n_both") >= p.min_docs)
     terms = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
@@ -168,22 +207,22 @@ def find_personal(docs: DataFrame, p: DisclosureParams = DisclosureParams(), id_
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     hashed = F.xxhash64("text")
     key = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), hashed)
-    outside = lambda t, spans: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
     entities = F.array_distinct(F.flatten(F.transform("base", _entities)))
     some = F.size("base") > 0
     located = rows.withColumn("base", base_spans(F.col("text"))).select("doc_id", hashed.alias("text_hash"), key.alias("key"), "base", F.when(some, F.col("text")).alias("text"), F.when(some, _outside_terms(F.col("text"), F.col("base"))).alias("words"))
     found = store(located, "entities")
-    holding = found.where(some)
+    holding = found.where(some).dropDuplicates(["key"])
     pairs, telling = disclosing_terms(holding.select("key", entities.alias("entities"), "words"), rows, p)
-    told = pairs.join(telling, ["entity", "term"]).groupBy("key").agg(F.collect_set(F.struct("term", "entity", "disclosure")).alias("told"))
-    beside = lambda t, s: ((s["start"] - p.reach <= t["start"]) & (t["end"] < s["start"])) | ((s["end"] < t["start"]) & (t["end"] <= s["end"] + p.reach))
-    applies = lambda t: lambda x: (x["term"] == F.lower(t["value"])) & (~_pooled(x["entity"]) | F.exists("base", lambda s: F.array_contains(_entities(s), x["entity"]) & beside(t, s)))
-    scored = lambda t: F.struct(t.alias("t"), F.array_max(F.transform(F.filter("told", applies(t)), lambda x: x["disclosure"])).alias("disclosure"))
-    words_told = F.transform("told", lambda x: x["term"])
-    places = F.filter(matches(F.col("text"), TERM), lambda t: F.array_contains(words_told, F.lower(t["value"])) & outside(t, F.col("base")))
-    kind = F.when(F.col("p.disclosure") >= p.remove, KINDS.index("reveal")).otherwise(KINDS.index("hint"))
-    more = holding.dropDuplicates(["key"]).join(told, "key").select("key", F.explode(F.transform(places, scored)).alias("p")).where("p.disclosure is not null")
-    more = more.groupBy("key").agg(F.collect_list(F.struct(F.col("p.t.start").alias("start"), kind.alias("kind"), F.col("p.t.end").alias("end"), F.lower("p.t.value").alias("value"))).alias("more"))
+    pool = F.when(_pooled(F.col("entity")), F.col("entity")).otherwise("")  # a value's terms count anywhere in its texts
+    told = store(pairs.join(telling, ["entity", "term"]).groupBy("key", pool.alias("pool"), "term").agg(F.max("disclosure").alias("disclosure")), "told")
+    mine = F.when(F.col("pool") == "", F.col("base")).otherwise(F.filter("base", lambda s: F.array_contains(_entities(s), F.col("pool"))))
+    texts = told.select("key", "pool").distinct().join(holding.select("key", "text", "base"), "key").select("key", "pool", "base", mine.alias("mine"), matches(F.col("text"), TERM).alias("terms"))
+    free = F.filter(beside(F.col("terms"), F.col("base")), lambda x: (x["before"] <= x["t"]["start"]) & (x["after"] >= x["t"]["end"]))
+    near = lambda x: ((x["after"] - p.reach <= x["t"]["start"]) & (x["t"]["end"] < x["after"])) | ((x["before"] < x["t"]["start"]) & (x["t"]["end"] <= x["before"] + p.reach))
+    placed = texts.withColumn("free", F.transform(free, lambda x: x["t"])).select("key", "pool", F.explode(F.when(F.col("pool") == "", F.col("free")).otherwise(F.transform(F.filter(beside(F.col("free"), F.col("mine")), near), lambda x: x["t"]))).alias("t"))
+    scored = placed.withColumn("term", F.lower("t.value")).join(told, ["key", "pool", "term"]).groupBy("key", "t").agg(F.max("disclosure").alias("disclosure"))
+    kind = F.when(F.col("disclosure") >= p.remove, KINDS.index("reveal")).otherwise(KINDS.index("hint"))
+    more = scored.groupBy("key").agg(F.collect_list(F.struct(F.col("t.start").alias("start"), kind.alias("kind"), F.col("t.end").alias("end"), F.lower("t.value").alias("value"))).alias("more"))
     every = found.drop("text", "words").join(more, "key", "left").withColumn("all_spans", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(f"array<{_SPAN}>")))))
     counts = [F.size(F.filter(F.col("base.kind"), _equals(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(_PATTERNS)]
     return every.select("doc_id", "text_hash", *counts, F.sha2(_spell(F.col("base")), 256).alias("base_sha256"), _spell(F.col("all_spans")).alias("spans"), "all_spans")
@@ -196,14 +235,25 @@ def redact(text: Column, spans: Column) -> Column:
     with it.
     """
     tags = F.array(*[F.lit("" if k == "reveal" else f"<{k.upper()}>") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), tags[s["kind"]])
-        inside = s["start"] < acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(kept).alias("out"))
+    def part(some: Column) -> Column:
+        """The text of a run of spans, cut out first, so that places are counted within it."""
+        first, last = some[0]["at"], F.element_at(some, -1)["upto"]
+
+        def cut(here: Column) -> Column:
+            piece = lambda x: F.when(x["start"] < x["at"], F.lit("")).otherwise(F.concat(F.substr(here, x["at"] - first + 1, x["start"] - x["at"]), tags[x["kind"]]))
+            return F.array_join(F.transform(some, piece), "")
+
+        return let(F.substr(text, first + 1, last - first), cut)
+
+    def joined(upto: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), upto)
+        each = F.zip_with(F.zip_with(spans, upto, lambda s, u: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), u.alias("upto"))), F.slice(before, 1, F.size(upto)), lambda s, at: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["upto"].alias("upto"), at.alias("at")))
+        parts = let(each, lambda e: F.transform(F.sequence(F.lit(0), F.floor((F.size(e) - 1) / _CHUNK).cast("int")), lambda c: F.slice(e, c * _CHUNK + 1, F.lit(_CHUNK))))
+        return F.concat(F.array_join(F.transform(parts, part), ""), F.substr(text, F.element_at(upto, -1) + 1, F.length(text)))
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+    ends = running(F.transform(spans, lambda s: s["end"]), "int", lambda a, b: F.greatest(a, b))
+    return F.when(F.size(spans) == 0, text).otherwise(let(ends, joined))
 
 
 def sanitise(docs: DataFrame, p: DisclosureParams = DisclosureParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -129,6 +129,36 @@ def test_rare_entities_and_far_terms(spark):
     assert all(got[50 + i] == {"tarantella"} for i in range(4)) and not any(got[100 + i] for i in range(60))
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 255, 256, 257, 513, 1_000])
+def test_running_values(spark, n):
+    values = [(i * 37) % 11 for i in range(n)]
+    df = spark.createDataFrame([(values,)], "v array<int>")
+    got = df.select(pii.running(F.col("v"), "int", lambda a, b: a + b), pii.running(F.col("v"), "int", lambda a, b: F.greatest(a, b))).first()
+    assert got[0] == [sum(values[: i + 1]) for i in range(n)] and got[1] == [max(values[: i + 1]) for i in range(n)]
+
+
+def test_one_long_text_takes_time_in_proportion(spark):
+    """Four times the numbers in one text take not much over four times as long."""
+    import time
+
+    took = []
+    for n in (16_000, 16_000, 64_000):
+        text = " ".join(f"10.{i % 256}.{i // 256 % 256}.7 word{i}" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        begin = time.monotonic()
+        r = pii.sanitise(df).first()
+        took.append(time.monotonic() - begin)
+        assert r["text"].count("<IP>") == n
+    assert took[2] < 8 * took[1] + 5
+
+
+def test_terms_that_tell_on_the_test_table(spark):
+    """The method adds spans at its own parameters, each of a word that stands beside a mention or in its text."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = [r for r in pii.find_personal(docs).collect() if any(s["kind"] > 3 for s in r["all_spans"])]
+    assert got and all(any(s["kind"] < 4 for s in r["all_spans"]) for r in got)
+
+
 def test_redact_overlaps(spark):
     spans = [(0, 0, 5, "x"), (3, 1, 8, "y"), (9, 5, 10, "z")]
     df = spark.createDataFrame([("0123456789ab", spans)], "t string, s array<struct<start:int,kind:int,end:int,value:string>>")
