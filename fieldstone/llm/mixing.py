@@ -21,8 +21,6 @@ from fieldstone.llm.common import WORD, store, table
 
 #: Hash bins of a pattern's documents; the bin at the margin alone is sorted.
 BINS = 4_096
-#: Patterns times sources that the driver's network may have.
-MAX_ARCS = 200_000
 
 
 def quotas(sizes: dict[str | None, int], weights: Sequence[float] = (1, 2, 3), cap: float = 3.0) -> dict[str | None, float]:
@@ -95,15 +93,23 @@ def min_cost_flow(arcs: Iterable[tuple[object, object, int, int]], source: objec
 
 
 def plan_flows(patterns: dict[tuple, int], targets: dict[str | None, float], max_repeats: int = 3) -> dict[tuple, dict[str | None, int]]:
-    """Words each source takes from each pattern. patterns: sources -> words."""
+    """Words each source takes from each pattern. patterns: sources -> words.
+
+    A source without overlaps has one way to fill its quota, its own pattern, so
+    its flow needs no network; the network holds the sources that share documents.
+    """
+    shared = {s for pattern in patterns if len(pattern) > 1 for s in pattern}
+    alone = {p: {p[0]: min(round(targets[p[0]]), words * max_repeats)} for p, words in patterns.items() if p[0] not in shared}
     arcs = []
     for k, (pattern, words) in enumerate(patterns.items()):
+        if pattern in alone:
+            continue
         for r in range(max_repeats):  # repetition r costs r * r: convex, so passes fill in turn
             arcs.append(("from", ("pattern", k), words, r * r))
         arcs += [(("pattern", k), ("source", s), words * max_repeats, 0) for s in pattern]
-    arcs += [(("source", s), "to", round(t), 0) for s, t in targets.items()]
+    arcs += [(("source", s), "to", round(t), 0) for s, t in targets.items() if s in shared]
     flow = min_cost_flow(arcs, "from", "to")
-    return {p: {s: flow.get((("pattern", k), ("source", s), 0), 0) for s in p} for k, p in enumerate(patterns)}
+    return {p: alone.get(p) or {s: flow.get((("pattern", k), ("source", s), 0), 0) for s in p} for k, p in enumerate(patterns)}
 
 
 @dataclass(frozen=True)
@@ -139,7 +145,7 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int =
     a part of one pass, in the order of a seeded hash of id and text, up to the
     flow. Bins of that hash are summed first, and only the bin at the margin is
     sorted, so a source with a third of the rows never meets in one task; the
-    plan is a row per pattern. Null and blank texts have size 0 and are never
+    plan is a row per pattern, which the driver holds as it holds the sources. Null and blank texts have size 0 and are never
     taken. Rows alike in id and text are taken alike; other columns are not read.
     """
     spark = docs.sparkSession
@@ -147,9 +153,7 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int =
     base = {"doc_id": F.col(id_col), "text_hash": F.xxhash64(text), "size": F.regexp_count(text, F.lit(WORD)).cast("long")}
     rows = store(docs.select(*[c.alias(n) for n, c in {**base, **_keyed(docs, seed, id_col, text_col, sources_col)}.items()]), "mix")
     bins = store(rows.groupBy("pattern", "bin").agg(F.sum("size").alias("words"), F.first("sources").alias("sources")), "mix-bins")
-    found = bins.groupBy("pattern").agg(F.sum("words").alias("words"), F.first("sources").alias("sources")).orderBy("pattern").limit(MAX_ARCS + 1).collect()
-    if sum(len(r["sources"]) for r in found) > MAX_ARCS:
-        raise ValueError(f"more than {MAX_ARCS} pattern-source arcs: merge rare patterns first")
+    found = bins.groupBy("pattern").agg(F.sum("words").alias("words"), F.first("sources").alias("sources")).orderBy("pattern").collect()
     sizes: dict[str | None, int] = {}
     for r in found:
         for s in r["sources"]:

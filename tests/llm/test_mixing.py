@@ -80,3 +80,26 @@ def test_overlap_and_empty(spark, empty):
     rows = df.collect()
     assert {tuple(r["sources"]) for r in rows} == {("a", "b"), (None,)}
     assert abs(sum(r["size"] * r["repeats"] for r in rows if r["sources"] == ["a", "b"]) - targets["a"] - targets["b"]) <= 10
+
+
+def test_sources_without_overlap_need_no_network(monkeypatch):
+    """The closed form is the network's flow, for any number of sources."""
+    from fieldstone.llm import mixing as m
+
+    patterns = {(f"s{i:03d}",): 10 + i * 7 % 50 for i in range(40)} | {("a", "b"): 90, ("a",): 30, ("b",): 5}
+    sizes = {}
+    for p, words in patterns.items():
+        for s in p:
+            sizes[s] = sizes.get(s, 0) + words
+    targets = m.quotas(sizes)
+    arcs = []
+    for k, (p, words) in enumerate(patterns.items()):
+        arcs += [("from", k, words, r * r) for r in range(3)] + [(k, ("source", s), words * 3, 0) for s in p]
+    flow = m.min_cost_flow(arcs + [(("source", s), "to", round(t), 0) for s, t in targets.items()], "from", "to")
+    got = m.plan_flows(patterns, targets)
+    for k, p in enumerate(patterns):
+        assert sum(got[p].values()) == sum(flow[k, ("source", s), 0] for s in p)
+    many = {(f"s{i:06d}",): 5 for i in range(250_000)}
+    asked = []
+    monkeypatch.setattr(m, "min_cost_flow", lambda arcs, *_: asked.extend(arcs) or {})
+    assert sum(sum(f.values()) for f in m.plan_flows(many, dict.fromkeys((p[0] for p in many), 4.0)).values()) == 1_000_000 and not asked
