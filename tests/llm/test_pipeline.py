@@ -4,10 +4,12 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
 from fieldstone.llm.common import store
+from fieldstone.llm.similar import shingle_hashes
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,16 +36,31 @@ def test_quality_keeps_clean(stages):
     assert all(len((r["text"] or "").split()) >= 50 for r in after)
 
 
-def test_one_of_each_group(spark, stages):
-    from test_simhash import brute_fingerprint, components
-
+def test_one_of_each_group(stages):
+    """All pairs by their five-word shingles: the least id of each group stays."""
     before, after, *_ = stages[1]
     rows = sorted({(r["doc_id"] is None, r["doc_id"], r["text"]) for r in before}, key=str)
-    fps = [brute_fingerprint(t) for _, _, t in rows]
+    sets = [set(shingle_hashes(t, 5, 42).tolist()) for _, _, t in rows]
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
     groups = {}
-    for (null, doc_id, _), root in zip(rows, components(fps, 2), strict=True):
-        groups.setdefault(root, []).append((null, doc_id))
-    assert Counter(r["doc_id"] for r in after) == Counter(min(g)[1] for g in groups.values())
+    for (null, doc_id, _), r in zip(rows, root, strict=True):
+        groups.setdefault(r, []).append((null, doc_id))
+    assert Counter(r["doc_id"] for r in after) == Counter(min(g)[1] for g in groups.values()) and len(groups) < len(rows)
+
+
+def test_columns_of_any_name_and_reruns(spark, docs):
+    """Helper columns never overwrite a table's own, and a rerun keeps the same rows."""
+    extra = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(("_ident", "_node", "_key", "node", "none", "id", "row", "key", "doc", "label"))])
+    for _, f in cp.STAGES[:4]:
+        got = [sorted(map(str, f(spark, extra, SF).collect())) for _ in range(2)]
+        assert got[0] == got[1]
+        assert all("_ident=0, _node=1, _key=2, node=3, none=4, id=5, row=6, key=7, doc=8, label=9" in r for r in got[0])
+        assert sorted(map(str, f(spark, docs, SF).collect())) == [r.partition(", _ident=0")[0] + ")" for r in got[0]]
 
 
 def test_contaminated_go(spark, stages):

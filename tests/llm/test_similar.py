@@ -1,9 +1,12 @@
 import random
+from itertools import combinations
 
 import numpy as np
+import pytest
 
 import corpus_pipeline as cp
-from fieldstone.llm.similar import shingle_hashes, similar_groups, similar_roots
+from fieldstone.llm import similar
+from fieldstone.llm.similar import cluster_links, shingle_hashes, similar_groups, similar_roots
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -61,6 +64,35 @@ def test_roots_match_all_pairs():
     assert similar_roots(sets, 0.8).tolist() == root and len(set(root)) < len(sets)
 
 
+@pytest.mark.parametrize("part", [1, 7, 10_000])
+def test_clusters_in_parts_match_all_pairs(spark, monkeypatch, part):
+    """Chains, near copies of one text and strays, in clusters far larger than a part: no link is lost."""
+    monkeypatch.setattr(similar, "PART_TEXTS", part)
+    rng = random.Random(8)
+    texts = []
+    for family in range(3):
+        words = [f"f{family}w{k}" for k in range(80)]
+        for k in range(30):  # neighbours in the chain are alike, its ends are not
+            words = [*words[2:], f"f{family}n{k}a", f"f{family}n{k}b"]
+            texts.append(" ".join(words))
+        texts += [_edited(rng, texts[-1].split(), 2) for _ in range(20)] + [_edited(rng, texts[-1].split(), 15) for _ in range(5)]
+    rows = [(hash_, family * 1000, t) for family in range(3) for hash_, t in enumerate(texts[family * 55 : family * 55 + 55], family * 1000)]
+    inside = spark.createDataFrame([(b, n, t) for n, b, t in rows], "b long, node long, text string").repartition(3)
+    got = cluster_links(inside, similar._verified(0.8, 5, 42)).collect()
+    ids = [n for n, _, _ in rows]
+
+    def components(links):
+        root = {n: n for n in ids}
+        for a, b in links:
+            if root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+        return root
+
+    want = components([(a, b) for (a, _, s), (b, _, t) in combinations(rows, 2) if _jaccard(s, t) >= 0.8])
+    assert components([(r["node"], r["label"]) for r in got]) == want and 3 < len(set(want.values())) < len(ids)
+
+
 def test_edges(spark, empty):
     assert similar_groups(empty).count() == 0
     odd = spark.createDataFrame([(1, None), (2, ""), (3, " \t"), (4, "a b"), (5, "A  b"), (6, "a c")], "doc_id long, text string")
