@@ -53,7 +53,7 @@ FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN n
 """,
     "op3_line_dedup": r"""
 WITH line AS (SELECT doc_id, i - 1 AS pos, l[i] AS line, list_filter(regexp_split_to_array(l[i], '[\x20\x09-\x0D]+'), lambda t: t <> '') AS raw
-  FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))),
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(translate(text, concat(chr(9), chr(11), chr(12), chr(13)), '    '), chr(10)) AS l FROM documents WHERE text IS NOT NULL))),
 cell AS (SELECT doc_id, pos, line, tok, len(tok) AS n, array_to_string(list_slice(tok, 1, 4), ' ') AS head
   FROM (SELECT doc_id, pos, line, list_transform(raw, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tok FROM line) WHERE len(tok) > 0),
 leaf AS (SELECT n, head FROM cell GROUP BY n, head HAVING count(DISTINCT doc_id) >= 4),

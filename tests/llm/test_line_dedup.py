@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from fieldstone.llm import line_dedup as ld
 
 
+BLANKS = str.maketrans("\t\x0b\x0c\r", "    ")
+
+
 def brute(docs, p):
     """Texts without recurring lines, by the same tree in plain Python."""
     cells = []
@@ -26,7 +29,7 @@ def brute(docs, p):
     for key, pos, tokens, leaf, line in live:
         shape = tuple(ld.ANY if len(children[leaf, i]) > p.max_children else t for i, t in enumerate(tokens))
         constant = sum(t != ld.ANY for t in shape)
-        shaped.append((key, pos, (leaf, shape if 100 * constant >= p.min_constant_percent * len(shape) else line)))
+        shaped.append((key, pos, (leaf, shape if 100 * constant >= p.min_constant_percent * len(shape) else line.translate(BLANKS))))
     docs_of = defaultdict(set)
     for key, _, shape in shaped:
         docs_of[shape].add(key)
@@ -84,4 +87,4 @@ def test_no_python_in_the_plan(docs):
 
 def test_masking(spark):
     df = spark.createDataFrame([(" a1 b  2024-01-01\tc",)], "t string")
-    assert df.select(ld.masked(F.col("t"))).first()[0] == [ld.ANY, "b", ld.ANY, "c"]
+    assert df.select(ld.masked(ld.plain(F.col("t")))).first()[0] == [ld.ANY, "b", ld.ANY, "c"]
