@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldstone.llm.common import store, table
+from fieldstone.llm.common import parallelism, store, table
 from fieldstone.llm.quality import let
 
 #: The base patterns by kind, in the order in which kinds are listed.
@@ -146,10 +146,10 @@ def beside(terms: Column, spans: Column) -> Column:
     return let(F.sort_array(F.concat(F.transform(spans, event(0)), F.transform(terms, event(1)))), joined)
 
 
-def _outside_terms(text: Column, spans: Column) -> Column:
-    """Distinct lower-case terms of a text that touch none of `spans`."""
+def outside_terms(text: Column, spans: Column) -> Column:
+    """array<struct<start, end, value>>: a text's terms that touch none of `spans`, in lower case."""
     apart = F.filter(beside(matches(text, TERM), spans), lambda x: (x["before"] < x["t"]["start"]) & (x["after"] > x["t"]["end"]))
-    return F.array_distinct(F.transform(apart, lambda x: F.lower(x["t"]["value"])))
+    return F.transform(apart, lambda x: F.struct(x["t"]["start"].alias("start"), x["t"]["end"].alias("end"), F.lower(x["t"]["value"]).alias("value")))
 
 
 def _entities(span: Column) -> Column:
@@ -195,7 +195,7 @@ def find_personal(docs: DataFrame, p: DisclosureParams = DisclosureParams(), id_
     """Per document: doc_id, text_hash, n_email, n_ip, n_card, n_phone, base_sha256, spans, all_spans.
 
     Base spans always stay. Terms that disclose an entity get spans of kind
-    `hint` (generalise) or `reveal` (remove) outside base spans: those of a value
+    `hint` (generalise) or `reveal` (remove) where they touch no base span: those of a value
     anywhere in its texts, those of a kind or domain within p.reach characters of
     a mention. `spans` spells
     all spans as kind:start:end; all_spans holds them as structs. Places are code
@@ -209,21 +209,21 @@ def find_personal(docs: DataFrame, p: DisclosureParams = DisclosureParams(), id_
     key = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), hashed)
     entities = F.array_distinct(F.flatten(F.transform("base", _entities)))
     some = F.size("base") > 0
-    located = rows.withColumn("base", base_spans(F.col("text"))).select("doc_id", hashed.alias("text_hash"), key.alias("key"), "base", F.when(some, F.col("text")).alias("text"), F.when(some, _outside_terms(F.col("text"), F.col("base"))).alias("words"))
+    located = rows.withColumn("base", base_spans(F.col("text"))).select("doc_id", hashed.alias("text_hash"), key.alias("key"), "base", F.when(some, outside_terms(F.col("text"), F.col("base"))).alias("terms"))
     found = store(located, "entities")
     holding = found.where(some).dropDuplicates(["key"])
-    pairs, telling = disclosing_terms(holding.select("key", entities.alias("entities"), "words"), rows, p)
+    pairs, telling = disclosing_terms(holding.select("key", entities.alias("entities"), F.array_distinct("terms.value").alias("words")), rows, p)
     pool = F.when(_pooled(F.col("entity")), F.col("entity")).otherwise("")  # a value's terms count anywhere in its texts
     told = store(pairs.join(telling, ["entity", "term"]).groupBy("key", pool.alias("pool"), "term").agg(F.max("disclosure").alias("disclosure")), "told")
     mine = F.when(F.col("pool") == "", F.col("base")).otherwise(F.filter("base", lambda s: F.array_contains(_entities(s), F.col("pool"))))
-    texts = told.select("key", "pool").distinct().join(holding.select("key", "text", "base"), "key").select("key", "pool", "base", mine.alias("mine"), matches(F.col("text"), TERM).alias("terms"))
-    free = F.filter(beside(F.col("terms"), F.col("base")), lambda x: (x["before"] <= x["t"]["start"]) & (x["after"] >= x["t"]["end"]))
+    texts = told.select("key", "pool").distinct().join(holding.select("key", "base", "terms"), "key").repartition(parallelism(docs.sparkSession), "key", "pool").withColumn("mine", mine)
     near = lambda x: ((x["after"] - p.reach <= x["t"]["start"]) & (x["t"]["end"] < x["after"])) | ((x["before"] < x["t"]["start"]) & (x["t"]["end"] <= x["before"] + p.reach))
-    placed = texts.withColumn("free", F.transform(free, lambda x: x["t"])).select("key", "pool", F.explode(F.when(F.col("pool") == "", F.col("free")).otherwise(F.transform(F.filter(beside(F.col("free"), F.col("mine")), near), lambda x: x["t"]))).alias("t"))
-    scored = placed.withColumn("term", F.lower("t.value")).join(told, ["key", "pool", "term"]).groupBy("key", "t").agg(F.max("disclosure").alias("disclosure"))
+    by_reach = F.transform(F.filter(beside(F.col("terms"), F.col("mine")), near), lambda x: F.struct(x["t"]["start"].alias("start"), x["t"]["end"].alias("end"), x["t"]["value"].alias("value")))
+    placed = texts.select("key", "pool", F.explode(F.when(F.col("pool") == "", F.col("terms")).otherwise(by_reach)).alias("t"))
+    scored = placed.withColumn("term", F.col("t.value")).join(told, ["key", "pool", "term"]).groupBy("key", "t").agg(F.max("disclosure").alias("disclosure"))
     kind = F.when(F.col("disclosure") >= p.remove, KINDS.index("reveal")).otherwise(KINDS.index("hint"))
-    more = scored.groupBy("key").agg(F.collect_list(F.struct(F.col("t.start").alias("start"), kind.alias("kind"), F.col("t.end").alias("end"), F.lower("t.value").alias("value"))).alias("more"))
-    every = found.drop("text", "words").join(more, "key", "left").withColumn("all_spans", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(f"array<{_SPAN}>")))))
+    more = scored.groupBy("key").agg(F.collect_list(F.struct(F.col("t.start").alias("start"), kind.alias("kind"), F.col("t.end").alias("end"), F.col("t.value").alias("value"))).alias("more"))
+    every = found.drop("terms").join(more, "key", "left").withColumn("all_spans", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(f"array<{_SPAN}>")))))
     counts = [F.size(F.filter(F.col("base.kind"), _equals(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(_PATTERNS)]
     return every.select("doc_id", "text_hash", *counts, F.sha2(_spell(F.col("base")), 256).alias("base_sha256"), _spell(F.col("all_spans")).alias("spans"), "all_spans")
 
