@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fieldstone.functions.parse import class_parser, parse, parse_array, spark_type, types_of
 from fieldstone.operators import tokenizer as tk
-from fieldstone.operators.sanitize import TOO_MANY, checked, field_at
+from fieldstone.operators.sanitize import TOO_MANY, checked, field_at, too_many
 from fieldstone.plans.spec import CustomFormat, FieldSpec, ReadSpec, SpecError
 from fieldstone.sources import scan
 from fieldstone.sources.resource import detect
@@ -78,7 +78,7 @@ def _typed(value: Column, children: Column | None, f: FieldSpec | None, name: st
     if f.array:
         if children is None:
             raise SpecError("array fields need the exact path")
-        return parse_array(children, named, spec.parsers)
+        return parse_array(children, named, spec.parsers, {**spec.sequences(), **f.sequences} if f.item_sequences else {})
     return parse(value, named, spec.parsers)
 
 
@@ -106,7 +106,9 @@ def read_delimited(spark: SparkSession, paths: Paths, spec: ReadSpec = ReadSpec(
     Names come from the first file's header, or are field_0, field_1, ...; types
     from the schema, text without one. `columns` picks fields by name or place
     (the way to pick among repeated names); others are not parsed. A record with
-    more fields than the header is an error, one with fewer is padded.
+    more fields than the header is an error, one with fewer is padded. In mode
+    permissive a malformed or overlong record is a row of nulls, and a last
+    column _error says why.
     """
     paths = _paths(paths)
     names, _ = _names(spark, paths, spec, detector)
@@ -122,15 +124,24 @@ def read_delimited(spark: SparkSession, paths: Paths, spec: ReadSpec = ReadSpec(
         value = lambda i: F.when(F.col("_more").isNull(), F.coalesce(F.col(f"_{i}"), missing)).otherwise(over)
         return rows.select(*[_typed(value(i), None, specs[i], names[i], spec).alias(names[i], metadata=_metadata(specs[i])) for i in picked])
     rows = read_records(spark, paths, spec, detector, numbered=False)
-    if spec.options.mode == "permissive":
-        rows = rows.where(F.col("error").isNull())
     number = F.coalesce("record_no", F.lit(0))
-    fields = rows.select(checked(F.col("fields"), number, len(names), spec).alias("fields"))
+    lenient = spec.options.mode == "permissive"
+    if lenient:
+        error = F.coalesce("error", too_many(F.col("fields"), number, len(names), spec))
+        fields = rows.select(error.alias("error"), F.when(error.isNull(), F.col("fields")).alias("fields"))
+    else:
+        fields = rows.select(checked(F.col("fields"), number, len(names), spec).alias("fields"))
     out = []
     for i in picked:
         children = F.get("fields", F.lit(i))["children"]
-        out.append(_typed(field_at(F.col("fields"), i, spec, specs[i]), children, specs[i], names[i], spec).alias(names[i], metadata=_metadata(specs[i])))
-    return fields.select(*out)
+        value = field_at(F.col("fields"), i, spec, specs[i])
+        if lenient:
+            value = F.when(F.col("error").isNull(), value)
+        column = _typed(value, children, specs[i], names[i], spec)
+        if lenient:
+            column = F.when(F.col("error").isNull(), column)
+        out.append(column.alias(names[i], metadata=_metadata(specs[i])))
+    return fields.select(*out, *[F.col("error").alias("_error")] * lenient)
 
 
 def ordinal(names: Sequence[str], name: str) -> int:
@@ -174,16 +185,28 @@ def map_records(spark: SparkSession, paths: Paths, mapper: Callable[[list[str]],
 
 
 def count_records(spark: SparkSession, paths: Paths, spec: ReadSpec = ReadSpec()) -> DataFrame:
-    """n: records of all files without headers and comments; null if the option is off."""
+    """n: records of all files without headers and comments; null if the option is off.
+
+    Whole files are counted where they lie, without building their fields; on the
+    other paths Spark leaves out the fields by itself.
+    """
     if not spec.options.row_count_at_start:
         return spark.range(1).select(F.lit(None).cast("long").alias("n"))
+    paths = _paths(paths)
+    if _plan(spec) == "exact":
+        return scan.exact_counts(spark, paths, spec, _headerless(spark, paths, spec)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     return read_records(spark, paths, spec, numbered=False).agg(F.count("*").alias("n"))
 
 
 def first_record(spark: SparkSession, path: str, spec: ReadSpec = ReadSpec()) -> DataFrame:
-    """raw: the text of a file's first record, its header if it has one."""
-    plain = dataclasses.replace(spec, dialect=spec.dialect.without_header())
-    return read_records(spark, path, plain).orderBy("file", "record_no").limit(1).select("raw")
+    """raw: the text of the first file's first record, its header if it has one.
+
+    The head of the file tells where Spark reads its charset and the record ends
+    within it; else the file is tokenized up to the record, and no further.
+    """
+    first = scan.files(spark, [path])[:1]
+    raw = scan.first_raw(spark, first[0], spec) if first else None
+    return spark.createDataFrame([] if raw is None else [(raw,)], "raw string")
 
 
 def raw_text(token: Column, quote: str | None) -> Column:

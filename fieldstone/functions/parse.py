@@ -22,6 +22,9 @@ from fieldstone.plans.spec import TYPES, CustomFormat, FieldSpec, Format, Intege
 SPARK_TYPES = {"string": "string", "char": "string", "bool": "boolean", "byte": "smallint", "short": "smallint", "int": "int", "long": "bigint", "float": "float", "double": "double", "date": "date", "time": "string", "datetime": "timestamp_ntz", "datetimeoffset": "timestamp", "guid": "string"}
 #: Date patterns of cultures, day first or month first.
 CULTURE_DATES = {"": "MM/dd/yyyy", "en-us": "M/d/yyyy", "en-gb": "dd/MM/yyyy", "fr-fr": "dd/MM/yyyy", "de-de": "dd.MM.yyyy", "es-es": "dd/MM/yyyy", "it-it": "dd/MM/yyyy", "nl-nl": "dd-MM-yyyy", "fr-be": "dd-MM-yy"}
+#: Group and decimal signs of the same cultures, and short times other than HH:mm:ss.
+CULTURE_NUMBERS = {"": (",", "."), "en-us": (",", "."), "en-gb": (",", "."), "fr-fr": ("\u202f", ","), "de-de": (".", ","), "es-es": (".", ","), "it-it": (".", ","), "nl-nl": (".", ","), "fr-be": ("\u202f", ",")}
+CULTURE_TIMES = {"en-us": "h:mm:ss tt", "es-es": "H:mm:ss"}
 _GUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
@@ -188,17 +191,36 @@ def parse(value: Column, f: FieldSpec, parsers: Mapping[Any, Callable] | None =
     return _or_error(value, _other(value, f), f)
 
 
+def _culture_format(type_: str, culture: str) -> Format:
+    date, (group, decimal), time = CULTURE_DATES[culture], CULTURE_NUMBERS[culture], CULTURE_TIMES.get(culture, "HH:mm:ss")
+    if type_ in _WHOLE:
+        return IntegerFormat(group)
+    if type_ in ("float", "double", "decimal"):
+        return NumberFormat(group, decimal)
+    return TemporalFormat({"date": date, "time": time}.get(type_, f"{date} {time}"))
+
+
 def parse_culture(value: Column, type_: str, culture: str) -> Column:
-    """A date of a culture's short pattern."""
-    if culture.lower() not in CULTURE_DATES:
+    """A number, date, time or datetime by a culture's separators and short patterns."""
+    if (name := culture.lower()) not in CULTURE_DATES:
         raise SpecError(f"unknown culture {culture!r}; known: {', '.join(k or 'invariant' for k in CULTURE_DATES)}")
-    return parse(value, FieldSpec(type_, format=TemporalFormat(CULTURE_DATES[culture.lower()])))
+    return parse(value, FieldSpec(type_, format=_culture_format(type_, name)))
+
 
+def parse_array(children: Column, f: FieldSpec, parsers: Mapping[Any, Callable] | None = None, sequences: Mapping[str, str | None] | None = None) -> Column:
+    """Items of an array field, each as the field's type; a missing field is empty.
 
-def parse_array(children: Column, f: FieldSpec, parsers: Mapping[Any, Callable] | None = None) -> Column:
-    """Items of an array field, each as the field's type; a missing field is empty."""
+    sequences: whole items that are replaced before they are parsed.
+    """
     item = dataclasses.replace(f, array=False)
-    return F.transform(F.coalesce(children, F.array().cast("array<string>")), lambda c: parse(c, item, parsers))
+
+    def one(c: Column) -> Column:
+        chain = F
+        for pattern, by in (sequences or {}).items():
+            chain = chain.when(c == F.lit(pattern), F.lit(by).cast("string"))
+        return parse(chain.otherwise(c) if sequences else c, item, parsers)
+
+    return F.transform(F.coalesce(children, F.array().cast("array<string>")), one)
 
 
 def array_item(array: Column, i: int) -> Column:

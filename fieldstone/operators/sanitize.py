@@ -68,12 +68,17 @@ def field_at(fields: Column, i: int, spec: ReadSpec, field: FieldSpec | None) ->
     return F.when(F.size(fields) > i, sanitize(F.get(fields, F.lit(i)), spec, field)).otherwise(missing)
 
 
-def checked(fields: Column, record_no: Column, width: int, spec: ReadSpec) -> Column:
-    """The fields; more of them than `width` is an error that names the record."""
+def too_many(fields: Column, record_no: Column, width: int, spec: ReadSpec) -> Column:
+    """The message about a record of more fields than `width`; null for others."""
     shift = max(len(spec.dialect.header_rows), 1) if spec.dialect.header else 0
     over = F.size(fields) - width
-    message = F.printf(F.lit(TOO_MANY), (record_no + shift).cast("string"), over.cast("string"), F.when(over > 1, "s").otherwise(""))
-    return F.when(over <= 0, fields).otherwise(F.raise_error(message).cast(_TYPE))
+    return F.when(over > 0, F.printf(F.lit(TOO_MANY), (record_no + shift).cast("string"), over.cast("string"), F.when(over > 1, "s").otherwise("")))
+
+
+def checked(fields: Column, record_no: Column, width: int, spec: ReadSpec) -> Column:
+    """The fields; more of them than `width` is an error that names the record."""
+    message = too_many(fields, record_no, width, spec)
+    return F.when(message.isNull(), fields).otherwise(F.raise_error(message).cast(_TYPE))
 
 
 _TYPE = "array<struct<value:string,quoted:boolean,escaped:boolean,children:array<string>>>"

@@ -114,7 +114,10 @@ Sequences = Mapping[str, "str | None"]
 
 @dataclass(frozen=True)
 class FieldSpec:
-    """One field. `parser` takes a string Column to a Column and goes before type and format."""
+    """One field. `parser` takes a string Column to a Column and goes before type and format.
+
+    item_sequences: sequences replace an array's items too, which stay as they are otherwise.
+    """
 
     type: Any = "string"
     name: str | None = None
@@ -124,6 +127,7 @@ class FieldSpec:
     source_type: str | None = None
     precision: tuple[int, int] = (38, 18)
     array: bool = False
+    item_sequences: bool = False
 
 
 def integer(type: str = "int", name: str | None = None, group: str | None = ",", **more: Any) -> FieldSpec:

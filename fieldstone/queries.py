@@ -6,6 +6,7 @@ what it reads.
 
 from __future__ import annotations
 
+import bz2
 import dataclasses
 import gzip
 import io
@@ -25,6 +26,7 @@ from fieldstone.plans import spec as S
 from fieldstone.plans.spec import ArrayDialect, Dialect, FieldSpec, Options, ReadSpec, Resource
 from fieldstone.sources import encode
 from fieldstone.sources.ndjson import NdjsonSpec, ordinal_of, read_lines, read_ndjson
+from fieldstone.sources.resource import DECOMPRESSORS
 from fieldstone.sources.storage import new_path, write_bytes
 from fieldstone.streaming.source import stream_delimited
 
@@ -358,10 +360,10 @@ def guid_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["guid_normalise"] = "SELECT n_nationkey, '00000000-0000-4000-8000-' || lpad(lower(to_hex(n_nationkey)), 12, '0') AS g FROM nation"
 
 
-@query("SELECT c_custkey, round(c_acctbal, 2)::DECIMAL(18,2)::DOUBLE AS d FROM customer")
+@query("SELECT c_custkey, round(c_acctbal, 2)::DECIMAL(18,2)::VARCHAR AS d FROM customer")
 def decimal_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "customer").select("c_custkey", F.format_number("c_acctbal", 2).alias("d"))
-    return _typed(spark, df, FieldSpec("long"), FieldSpec("decimal", precision=(18, 2))).withColumn("d", F.col("d").cast("double"))
+    return _typed(spark, df, FieldSpec("long"), FieldSpec("decimal", precision=(18, 2))).withColumn("d", F.col("d").cast("string"))
 
 
 @query("SELECT p_partkey, left(p_name, 1) AS c, (p_size % 256)::SMALLINT AS b FROM part")
@@ -379,9 +381,12 @@ def _vectors(spark: SparkSession, sf_dir: str, type_: str) -> DataFrame:
     return api.read_delimited(spark, encode.write_lines(lines, VECTORS), ReadSpec(VECTORS, S.indexed(FieldSpec("long"), FieldSpec(type_, array=True)))).toDF("vec_id", "e")
 
 
-@query("SELECT vec_id, len(embedding)::INTEGER AS n, embedding[1] AS first, embedding[len(embedding)] AS last FROM embeddings")
+_ITEMS = "SELECT vec_id, i::INTEGER AS i, embedding[i + 1] AS item FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings)"
+
+
+@query(_ITEMS)
 def array_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vectors(spark, sf_dir, "float").select("vec_id", F.size("e").alias("n"), F.element_at("e", 1).alias("first"), F.element_at("e", -1).alias("last"))
+    return _vectors(spark, sf_dir, "float").select("vec_id", F.posexplode("e").alias("i", "item"))
 
 
 @query("SELECT vec_id, embedding[3] AS item FROM embeddings")
@@ -389,9 +394,28 @@ def array_item_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir, "float").select("vec_id", array_item(F.col("e"), 2).alias("item"))
 
 
-@query("SELECT vec_id, len(embedding)::INTEGER AS n FROM embeddings")
+@query(_ITEMS)
 def array_untyped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vectors(spark, sf_dir, "string").select("vec_id", F.size("e").alias("n"))
+    """Items as text, which read as the same numbers."""
+    return _vectors(spark, sf_dir, "string").select("vec_id", F.posexplode("e").alias("i", "item")).withColumn("item", F.col("item").cast("float"))
+
+
+@query("SELECT p_partkey, i::INTEGER AS i, CASE WHEN i = 1 THEN NULL WHEN i = 2 THEN -1 ELSE p_size END AS item FROM part, (SELECT unnest(range(3)) AS i)")
+def array_item_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences replace items where a field asks for it."""
+    df = table(spark, sf_dir, "part")
+    lines = df.select(F.concat(F.col("p_partkey").cast("string"), F.lit(";["), F.col("p_size").cast("string"), F.lit("|n/a|?]")).alias("value"))
+    field = FieldSpec("int", array=True, item_sequences=True, sequences={"n/a": None, "?": "-1"})
+    rows = api.read_delimited(spark, encode.write_lines(lines, VECTORS), ReadSpec(VECTORS, S.indexed(FieldSpec("long"), field))).toDF("p_partkey", "e")
+    return rows.select("p_partkey", F.posexplode("e").alias("i", "item"))
+
+
+@query("SELECT p_partkey, '[' || p_size || '|x' AS v FROM part")
+def array_without_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An array delimiter alone leaves values as they are."""
+    d = dataclasses.replace(VECTORS, array=ArrayDialect("|"))
+    lines = table(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(";["), F.col("p_size").cast("string"), F.lit("|x")).alias("value"))
+    return api.read_delimited(spark, encode.write_lines(lines, d), ReadSpec(d, S.indexed(FieldSpec("long"), FieldSpec("string")))).toDF("p_partkey", "v")
 
 
 @query("SELECT o_orderkey, make_date(year(o_orderdate)::INTEGER, ((quarter(o_orderdate) - 1) * 3 + 1)::INTEGER, 1) AS q FROM orders")
@@ -494,18 +518,18 @@ def raw_text_and_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").coalesce(1)
     rows = api.read_records(spark, encode.write_table(df, SEMI, quote_all=True), ReadSpec(SEMI))
     raw = api.raw_text(F.col("fields")[1], '"')
-    return rows.select(F.col("fields")[0]["value"].cast("int").alias("n"), F.substring(raw, 2, 1_000).alias("raw"), F.col("record_no").cast("int").alias("record_no")).withColumn("raw", F.expr("left(raw, length(raw) - 1)"))
+    return rows.select(F.col("fields")[0]["value"].cast("int").alias("n"), raw.alias("raw"), F.col("record_no").cast("int").alias("record_no")).withColumn("raw", F.expr("substring(raw, 2, length(raw) - 2)"))
 
 
 _SUPPLIER = "SELECT s_suppkey, s_name, s_nationkey FROM supplier"
 
 
-def _packed(spark: SparkSession, sf_dir: str, pack: Callable[[bytes], bytes], name: str, resource: Resource, bom: bytes = b"", charset: str = "utf-8") -> DataFrame:
+def _packed(spark: SparkSession, sf_dir: str, pack: Callable[[bytes], bytes], name: str, resource: Resource, bom: bytes = b"", charset: str = "utf-8", **how: Callable) -> DataFrame:
     """A small table in one file of some compression and encoding, written by the driver."""
     df = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     text = "\r\n".join([";".join(df.columns), *(r["value"] for r in encode.lines(df, SEMI).toLocalIterator())])
     path = write_bytes(spark, f"{new_path(spark, 'file')}/{name}", pack(bom + text.encode(charset)))
-    return api.read_delimited(spark, path, ReadSpec(SEMI, S.indexed(*fields_of(df)), resource))
+    return api.read_delimited(spark, path, ReadSpec(SEMI, S.indexed(*fields_of(df)), resource), **how)
 
 
 def raw_deflate(data: bytes) -> bytes:
@@ -535,6 +559,142 @@ for _n, _a in {
     ORACLE_SQL[_n] = _SUPPLIER
 
 
+@query(_SUPPLIER)
+def custom_decompressor_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's decompressor under a name of its own and an alias."""
+    DECOMPRESSORS.add_or_replace(".BZ2", bz2.decompress)
+    DECOMPRESSORS.add_alias("bzip", "bz2")
+    return _packed(spark, sf_dir, bz2.compress, "a.data", Resource(compression="bzip"))
+
+
+@query(_SUPPLIER)
+def custom_detector_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's detector tells an encoding that no mark does."""
+    return _packed(spark, sf_dir, _PLAIN_BYTES, "a.csv", Resource(), b"", "utf-16-le", detector=lambda head: ("utf-16-le", 0))
+
+
+@query("SELECT n_nationkey::VARCHAR AS a, CASE WHEN n_nationkey % 2 = 0 THEN 3 ELSE 2 END AS n, n_nationkey + 1 AS record_no FROM nation")
+def end_of_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A delimiter at a record's end opens an empty field; a last terminator is optional and adds no record."""
+    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_nationkey").toLocalIterator()
+    text = "\r\n".join(f"{r[0]};x" + ";" * (r[0] % 2 == 0) for r in rows)
+    at = [write_bytes(spark, f"{new_path(spark, 'file')}/{name}", (text + tail).encode()) for name, tail in (("a.csv", ""), ("b.csv", "\r\n"))]
+    read = [api.read_records(spark, p, ReadSpec(BARE)).select(F.col("fields")[0]["value"].alias("a"), F.size("fields").alias("n"), F.col("record_no").cast("int").alias("record_no")) for p in at]
+    return read[0].intersectAll(read[1])
+
+
+@query("SELECT CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey::VARCHAR ELSE '' END AS a, CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 1 END AS n FROM nation")
+def blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A blank line is a record of one empty field."""
+    lines = table(spark, sf_dir, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, F.concat_ws(";", F.col("n_nationkey").cast("string"), "n_name")).otherwise("").alias("value"))
+    rows = api.read_records(spark, encode.write_lines(lines, BARE), ReadSpec(BARE))
+    return rows.select(F.col("fields")[0]["value"].alias("a"), F.size("fields").alias("n"))
+
+
+@query("SELECT p_partkey::VARCHAR AS k, p_partkey % 3 > 0 AS quoted, p_partkey % 3 = 2 AS escaped FROM part")
+def token_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain, quoted, and quoted with doubled quotes."""
+    kind = F.col("p_partkey") % 3
+    name = F.when(kind == 0, F.lit("plain")).when(kind == 1, F.lit('"quoted"')).otherwise(F.lit('"a ""b"" c"'))
+    lines = table(spark, sf_dir, "part").select(F.concat_ws(";", F.col("p_partkey").cast("string"), name).alias("value"))
+    rows = api.read_records(spark, encode.write_lines(lines, BARE), ReadSpec(BARE))
+    return rows.select(F.col("fields")[0]["value"].alias("k"), F.col("fields")[1]["quoted"].alias("quoted"), F.col("fields")[1]["escaped"].alias("escaped"))
+
+
+@query("SELECT * FROM (VALUES ('n_nationkey', 'int', 'INTEGER'), ('n_name', 'string', ''), ('n_regionkey', 'decimal(10,2)', 'NUMBER')) t(name, type, source)")
+def declared_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = S.indexed(FieldSpec("int", source_type="INTEGER"), FieldSpec(), FieldSpec("decimal", precision=(10, 2), source_type="NUMBER"))
+    df = api.read_delimited(spark, encode.write_table(table(spark, sf_dir, "nation"), SEMI), ReadSpec(SEMI, schema))
+    return spark.createDataFrame(api.field_types(df), "name string, type string, source string")
+
+
+@query("SELECT CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey END AS k, CASE WHEN n_nationkey % 3 = 0 THEN n_name END AS name, CASE WHEN n_nationkey % 3 > 0 THEN 'The record ' || (n_nationkey + 2) || ' contains ' || (n_nationkey % 3) || ' more field' || CASE WHEN n_nationkey % 3 = 1 THEN '' ELSE 's' END || ' than expected.' END AS error FROM nation")
+def too_many_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlong records are rows of nulls that say why, in mode permissive."""
+    d = Dialect(";", comment="#")
+    df = table(spark, sf_dir, "nation").orderBy("n_nationkey").coalesce(1)
+    lines = df.select(F.concat(F.col("n_nationkey").cast("string"), F.lit(";"), F.col("n_name"), F.repeat(F.lit(";x"), (F.col("n_nationkey") % 3).cast("int"))).alias("value"))
+    read = ReadSpec(d, S.indexed(FieldSpec("int"), FieldSpec()), options=Options(mode="permissive"))
+    return api.read_delimited(spark, encode.write_lines(lines, d, ["k;name"]), read).toDF("k", "name", "error")
+
+
+@query("SELECT p_partkey, '(null)' AS a, 'x\\;y' AS b FROM part")
+def toggles_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neither sequences nor escapes are touched."""
+    d = Dialect(";", "\n", escape="\\", header_rows=(), null_sequence="(null)")
+    lines = table(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(";(null);x\\;y")).alias("value"))
+    read = ReadSpec(d, S.indexed(FieldSpec("long"), FieldSpec(), FieldSpec()), options=Options(unescape=False, special_values=False))
+    return api.read_delimited(spark, encode.write_lines(lines, d), read).toDF("p_partkey", "a", "b")
+
+
+@query("SELECT NULL::BIGINT AS n")
+def count_switched_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.count_records(spark, encode.write_table(table(spark, sf_dir, "region"), SEMI), ReadSpec(SEMI, options=Options(row_count_at_start=False)))
+
+
+@query("SELECT s_suppkey, s_name || ' |''\\ #' AS s_name FROM supplier")
+def named_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dialect spelt by the names of its characters."""
+    d = Dialect(S.DELIMITERS["pipe"], S.TERMINATORS["lf"], S.QUOTES["single"], False, S.ESCAPES["backslash"], comment=S.COMMENTS["hash"], header_rows=())
+    df = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat("s_name", F.lit(" |'\\ #")).alias("s_name"))
+    return api.read_delimited(spark, encode.write_table(df, d), ReadSpec(d, S.indexed(FieldSpec("long"), FieldSpec()))).toDF("s_suppkey", "s_name")
+
+
+@query("SELECT p AS preset, n_nationkey::INTEGER AS k, n_name || ',;|' AS name FROM nation, (SELECT unnest(['comma', 'semicolon', 'tab', 'pipe']) AS p)")
+def presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit(",;|")).alias("n_name"))
+    read = [api.read_delimited(spark, encode.write_table(df, d), ReadSpec(d, S.indexed(FieldSpec("int"), FieldSpec()))).toDF("k", "name").withColumn("preset", F.lit(n)) for n, d in (("comma", S.COMMA), ("semicolon", S.SEMICOLON), ("tab", S.TAB), ("pipe", S.PIPE))]
+    return read[0].unionByName(read[1]).unionByName(read[2]).unionByName(read[3])
+
+
+class Span:
+    """A user's type whose parse takes a pattern and a provider."""
+
+    def __init__(self, low: int, high: int):
+        self.low, self.high = low, high
+
+    @classmethod
+    def parse_exact(cls, text: str, pattern: str, provider: str) -> Span:
+        low, high = text.removeprefix(provider).split(pattern)
+        return cls(int(low), int(high))
+
+    def __str__(self) -> str:
+        return f"{self.low}-{self.high}"
+
+
+@query("SELECT p_partkey, p_size || '-' || (p_size + 3) AS span FROM part")
+def class_parser_with_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "part").select("p_partkey", F.format_string("~%d..%d", "p_size", F.col("p_size") + 3).alias("span"))
+    return _typed(spark, df, FieldSpec("long"), S.custom(Span, pattern="..", provider="~"))
+
+
+@query("SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS cents, o_custkey, o_orderdate::DATE AS day FROM orders")
+def values_by_culture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and dates as a culture writes them: 1.234,56 and 31.12.2025."""
+    df = table(spark, sf_dir, "orders")
+    german = lambda c: F.translate(c, ",.", ".,")
+    text = df.select("o_orderkey", german(F.format_number("o_totalprice", 2)).alias("price"), german(F.format_number("o_custkey", 0)).alias("cust"), F.date_format("o_orderdate", "dd.MM.yyyy").alias("day"))
+    rows = api.read_delimited(spark, encode.write_table(text, SEMI), ReadSpec(SEMI, multiline=False))
+    price = parse_culture(F.col("price"), "double", "de-de")
+    return rows.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.round(price * 100).cast("long").alias("cents"), parse_culture(F.col("cust"), "long", "de-DE").alias("o_custkey"), parse_culture(F.col("day"), "date", "de-de").alias("day"))
+
+
+@query("SELECT event_id, user_id FROM events")
+def ndjson_unquoted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "ndjson")
+    table(spark, sf_dir, "events").select(F.format_string("{event_id: %d, user_id:%d}", "event_id", "user_id").alias("value")).write.text(path)
+    return read_ndjson(spark, path, NdjsonSpec(S.named(FieldSpec("long", "event_id"), FieldSpec("long", "user_id"))))
+
+
+@query("SELECT event_id, user_id, event_id + 1 AS second FROM events")
+def ndjson_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested objects and arrays are text of their own, which reads on."""
+    path = new_path(spark, "ndjson")
+    table(spark, sf_dir, "events").select(F.format_string('{"id": %d, "who": {"user": %d}, "list": [%d, %d]}', "event_id", "user_id", "event_id", F.col("event_id") + 1).alias("value")).write.text(path)
+    rows = read_ndjson(spark, path, labels=["id", "who", "list"])
+    return rows.select(F.col("id").cast("long").alias("event_id"), F.get_json_object("who", "$.user").cast("long").alias("user_id"), F.get_json_object("list", "$[1]").cast("long").alias("second"))
+
+
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def ndjson_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")

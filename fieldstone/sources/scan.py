@@ -151,6 +151,51 @@ def exact_records(spark: SparkSession, paths: Sequence[str], spec: ReadSpec, hea
     return texts.mapInArrow(run, RECORDS)
 
 
+def exact_counts(spark: SparkSession, paths: Sequence[str], spec: ReadSpec, headerless: frozenset[str] = frozenset(), detector: Callable = detect) -> DataFrame:
+    """n: each file's records after the header, comments and skipped rows left out."""
+    d, mode, skip = spec.dialect, spec.options.mode, frozenset(spec.dialect.comment_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = []
+            for path, text in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True):
+                own = d.without_header() if path in headerless else d
+                counts.append(sum(not r.comment and r.number not in skip for r in _headed(text, own, mode)))
+            yield pa.record_batch([pa.array(counts, pa.int64())], names=["n"])
+
+    return text_files(spark, paths, spec, detector).mapInArrow(run, "n long")
+
+
+def _head(spark: SparkSession, path: str, spec: ReadSpec) -> tuple[str, bool] | None:
+    """The first lines of a file that Spark decodes, and whether they are all; None for other files."""
+    if _charset(spec) != "UTF-8" or spec.resource.compression:
+        return None
+    lines = [r[0] for r in spark.read.option("lineSep", spec.dialect.line_terminator).text(path).limit(_HEAD_LINES).collect()]
+    return spec.dialect.line_terminator.join(lines).removeprefix("\ufeff"), len(lines) < _HEAD_LINES
+
+
+def first_raw(spark: SparkSession, path: str, spec: ReadSpec, detector: Callable = detect) -> str | None:
+    """The text of a file's first record that is no comment; None without one."""
+    d, mode = spec.dialect, spec.options.mode
+
+    def first(text: str, mode: str) -> tk.Record | None:
+        return next((r for r in tk.records(text, d, mode) if not r.comment and r.number not in d.comment_rows), None)
+
+    head = _head(spark, path, spec) if spec.resource.encoding else None  # an undeclared charset may be another by its mark
+    if head:
+        r = first(head[0], "permissive")
+        if r and not r.error and (head[1] or not head[0].endswith(r.raw)):
+            return r.raw
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [r.raw for r in (first(t, mode) for t in b.column("text").to_pylist()) if r]
+            yield pa.record_batch([pa.array(found, pa.string())], names=["raw"])
+
+    row = text_files(spark, [path], spec, detector).mapInArrow(run, "raw string").first()
+    return row["raw"] if row else None
+
+
 def expression_legal(spec: ReadSpec) -> bool:
     """Whether lines are records: no terminators in quotes, no arrays, a charset of Spark's, nothing declared compressed."""
     d = spec.dialect

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -13,10 +14,13 @@ from pyspark.sql import SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Where the session has none (tests, a single machine) a temporary one is set.
+    Where a local session has none (tests, a single machine) a temporary one is
+    set; on a cluster a machine's own folder would not be shared, so that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="fieldstone-shared-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

@@ -185,3 +185,25 @@ def test_class_parser():
     assert P.class_parser(Quarter, S.CustomFormat("q", "fr"))("x") == ("x", "q")
     with pytest.raises(S.SpecError):
         P.class_parser(dict, None)
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "culture", "want"),
+    [
+        ("1.234.567,5", "double", "de-DE", 1234567.5),
+        ("1,234.5", "double", "", 1234.5),
+        ("12\u202f345", "long", "fr-fr", 12345),
+        ("1:05:09 PM", "time", "en-us", "13:05:09.000000"),
+        ("13:05:09", "time", "it-it", "13:05:09.000000"),
+        ("31-12-2025 23:59:58", "datetime", "nl-nl", dt.datetime(2025, 12, 31, 23, 59, 58)),
+    ],
+)
+def test_cultures_of_numbers_and_times(spark, text, kind, culture, want):
+    df = spark.createDataFrame([(text,)], "v string")
+    assert df.select(P.parse_culture(F.col("v"), kind, culture)).first()[0] == want
+
+
+def test_item_sequences(spark):
+    df = spark.createDataFrame([(["1", "?", ""],)], "v array<string>")
+    field = S.FieldSpec("int", array=True)
+    assert df.select(P.parse_array(F.col("v"), field, None, {"?": None, "": "-1"})).first()[0] == [1, None, -1]

@@ -197,3 +197,40 @@ def test_plan_prunes_and_stays_in_the_jvm(spark, put):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "_0" not in plan.split("ReadSchema")[1] and "Arrow" not in plan
     assert scan.native_legal(ReadSpec(d))
+
+
+def test_permissive_keeps_bad_records(spark, put):
+    """Malformed and overlong records are rows of nulls that say why; typed values beside them still read."""
+    d = Dialect(";", "\n")
+    read = ReadSpec(d, S.indexed(FieldSpec("int"), FieldSpec()), options=Options(mode="permissive"))
+    path = put('k;v\n1;a\n2;"b"x\n3;c;d\n4\n')
+    for spec in (read, dataclasses.replace(read, multiline=False)):
+        got = sorted(rows(api.read_delimited(spark, path, spec)), key=lambda r: str(r[0]))
+        assert [r[:2] for r in got] == [(1, "a"), (4, ""), (None, None), (None, None)]
+        assert [r[2] is None for r in got] == [True, True, False, False]
+        assert any("1 more field than expected" in r[2] for r in got[2:])
+
+
+def test_first_record_and_counts(spark, put):
+    long = ReadSpec(Dialect(";", "\n", comment="#"), resource=S.Resource("utf-8"))
+    body = "# note\n" + '"a\nb";c\n' + "x;z\n" * 500
+    for read in (long, dataclasses.replace(long, resource=S.Resource())):
+        assert api.first_record(spark, put(body), read).collect() == [('"a\nb";c',)]
+        assert api.count_records(spark, put(body), read).first()[0] == 500
+    only = '"' + "line\n" * 400 + '";z\n'
+    assert api.first_record(spark, put(only), long).first()[0] == only[:-1]
+    assert api.first_record(spark, put(""), long).count() == 0 and api.first_record(spark, put("# no\n"), long).count() == 0
+
+
+def test_shared_folder_is_never_one_machines(spark, monkeypatch):
+    from fieldstone.sources import storage
+
+    class Session:
+        conf = {}
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Session)
