@@ -11,6 +11,7 @@ go on to small leaves that are compared whole.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
@@ -26,9 +27,10 @@ from fieldstone.llm.tokens import LOWER
 
 #: Distinct fingerprints that a shard holds on average, without its boundary.
 SHARD_ROWS = 5_000
-#: Fingerprints from which the upper tree is fitted, at most (all rows are indexed).
-SAMPLE_ROWS = 50_000
-MAX_SHARDS = 4_096
+#: Fingerprints from which the upper tree is fitted, and at least as many for each shard (all rows are indexed).
+SAMPLE_ROWS, SHARD_SAMPLE = 50_000, 12
+#: Nodes of the upper tree, which every task holds; beyond it shards grow, by 8 bytes a fingerprint.
+MAX_SHARDS = 65_536
 LEAF_ROWS = 192
 #: A node stays whole if its boundary would hold more than this share.
 MAX_OVERLAP = 0.75
@@ -85,21 +87,24 @@ def build_tree(sample: np.ndarray, radius: int, shards: int) -> list[tuple[int,
     The part with most sample rows is split next, until `shards` parts exist.
     """
     nodes: list[list[int]] = []
-    parts: list[tuple[np.ndarray, tuple[int, int] | None]] = [(sample, None)]
-    done: list[tuple[np.ndarray, tuple[int, int] | None]] = []
+    parts: list[tuple[int, int, np.ndarray, tuple[int, int] | None]] = [(-len(sample), 0, sample, None)]
+    done: list[tuple[int, int, np.ndarray, tuple[int, int] | None]] = []
+    named = 0
     while parts and len(parts) + len(done) < shards:
-        parts.sort(key=lambda p: len(p[0]))
-        fps, parent = parts.pop()
+        part = heapq.heappop(parts)
+        _, _, fps, parent = part
         cut = _split(fps, radius) if len(fps) > 8 else None
         if cut is None:
-            done.append((fps, parent))
+            done.append(part)
             continue
         point, mu, d = cut
         if parent:
             nodes[parent[0]][parent[1]] = len(nodes)
-        parts += [(fps[d <= mu + radius], (len(nodes), 2)), (fps[d > mu], (len(nodes), 3))]
+        for side, child in ((2, fps[d <= mu + radius]), (3, fps[d > mu])):
+            named += 1
+            heapq.heappush(parts, (-len(child), named, child, (len(nodes), side)))
         nodes.append([point, mu, 0, 0])
-    for k, (_, parent) in enumerate([*done, *parts]):
+    for k, (_, _, _, parent) in enumerate([*done, *parts]):
         if parent:
             nodes[parent[0]][parent[1]] = -k - 1
     return [tuple(n) for n in nodes]
@@ -176,14 +181,14 @@ def _shard_links(radius: int) -> Callable[[pa.Table], pa.Table]:
 def fingerprint_links(distinct: DataFrame, radius: int) -> DataFrame:
     """Links (a, b) that connect the same rows as all pairs of `fp` at distance <= radius.
 
-    `distinct` has each fingerprint once. The upper tree is fitted on the
-    SAMPLE_ROWS fingerprints of least hash; every row is then dealt by it. A
+    `distinct` has each fingerprint once. The upper tree is fitted on a sample of
+    those of least hash, SAMPLE_ROWS or more, which grows with the shards; every row is then dealt by it. A
     shard gives a forest of links, not all pairs, so a dense group of n rows has
     n - 1 links at most per leaf.
     """
     n = distinct.count()
     shards = min(MAX_SHARDS, max(1, -(-n // SHARD_ROWS)) * 2)
-    picked = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_ROWS).toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
+    picked = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(max(SAMPLE_ROWS, SHARD_SAMPLE * shards)).toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
     tree = build_tree(picked, radius, shards) if len(picked) else []
     return distinct.select("fp").mapInArrow(_route(tree, radius), "shard int, fp long").groupBy("shard").applyInArrow(_shard_links(radius), "a long, b long")
 
