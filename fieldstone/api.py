@@ -35,6 +35,17 @@ def _plan(spec: ReadSpec) -> str:
     return spec.scan if spec.scan != "auto" else "expression" if scan.expression_legal(spec) else "exact"
 
 
+def _settled(spark: SparkSession, paths: list[str], spec: ReadSpec, detector: Callable = detect) -> ReadSpec:
+    """The spec with the path that its files call for, where the caller leaves it open and wants no record numbers.
+
+    Files that Spark would split are split here too, if their dialect allows it:
+    the rows are those of the exact path, and text that quotes do not part
+    rightly is an error. Bad records are kept or left out by the exact path alone.
+    """
+    open_ = spec.scan == "auto" and _plan(spec) == "exact" and spec.options.mode == "failfast" and detector is detect
+    return dataclasses.replace(spec, scan="split") if open_ and scan.split_legal(spec) and scan.worth_splitting(spark, paths, spec) else spec
+
+
 def _names(spark: SparkSession, paths: list[str], spec: ReadSpec, detector: Callable) -> tuple[list[str], list[str]]:
     """(field names by the first file, its path); an empty first file has the schema's names.
 
@@ -61,6 +72,7 @@ def _headerless(spark: SparkSession, paths: list[str], spec: ReadSpec) -> frozen
 def read_records(spark: SparkSession, paths: Paths, spec: ReadSpec = ReadSpec(), detector: Callable = detect, numbered: bool = True) -> DataFrame:
     """Records as tokens: file, record_no, raw, fields, error (see `sources.scan`)."""
     paths = _paths(paths)
+    spec = spec if numbered else _settled(spark, paths, spec, detector)
     if _plan(spec) == "expression":
         return scan.expression_records(spark, paths, spec, _headerless(spark, paths, spec), numbered)
     if _plan(spec) == "split":
@@ -111,6 +123,7 @@ def read_delimited(spark: SparkSession, paths: Paths, spec: ReadSpec = ReadSpec(
     column _error says why.
     """
     paths = _paths(paths)
+    spec = _settled(spark, paths, spec, detector)
     names, _ = _names(spark, paths, spec, detector)
     picked = list(range(len(names))) if columns is None else [c if isinstance(c, int) else ordinal(names, c) for c in columns]
     specs = {i: spec.field(i, names[i]) for i in picked}
@@ -193,6 +206,7 @@ def count_records(spark: SparkSession, paths: Paths, spec: ReadSpec = ReadSpec()
     if not spec.options.row_count_at_start:
         return spark.range(1).select(F.lit(None).cast("long").alias("n"))
     paths = _paths(paths)
+    spec = _settled(spark, paths, spec)
     if _plan(spec) == "exact":
         return scan.exact_counts(spark, paths, spec, _headerless(spark, paths, spec)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     return read_records(spark, paths, spec, numbered=False).agg(F.count("*").alias("n"))

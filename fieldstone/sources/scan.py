@@ -11,6 +11,7 @@ native      Spark's own CSV source (see `api.read_delimited`); splittable
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -232,9 +233,15 @@ def expression_records(spark: SparkSession, paths: Sequence[str], spec: ReadSpec
     return _tokenized(lines, spec)
 
 
-def _tokenized(lines: DataFrame, spec: ReadSpec) -> DataFrame:
-    """(file, record_no, raw) with the fields of each record and, by the mode, an error."""
-    fields = tokenize(F.col("raw"), spec.dialect)
+def _tokenized(lines: DataFrame, spec: ReadSpec, joined: bool = False) -> DataFrame:
+    """(file, record_no, raw) with the fields of each record and, by the mode, an error.
+
+    `joined`: records of several lines, whose terminators have to be in quotes.
+    """
+    fields, end = tokenize(F.col("raw"), spec.dialect), F.lit(spec.dialect.line_terminator)
+    if joined:
+        torn = F.contains("raw", end) & F.exists(fields, lambda f: ~f["quoted"] & F.contains(f["value"], end))
+        fields = F.when(~F.coalesce(torn, F.lit(False)), fields)
     bad = F.concat(F.lit("Malformed record: "), F.col("raw"))
     if spec.options.mode == "failfast":
         fields = F.coalesce(fields, F.raise_error(bad).cast(FIELDS))
@@ -248,8 +255,9 @@ def _tokenized(lines: DataFrame, spec: ReadSpec) -> DataFrame:
 def split_legal(spec: ReadSpec) -> bool:
     """Whether the quotes before a place tell if it lies inside a quoted field.
 
-    So it is where quotes only enclose fields or are doubled in them. The caller
-    vouches for that; comments, escapes and arrays rule it out.
+    So it is where quotes only enclose fields or are doubled in them; comments,
+    escapes and arrays rule it out. Other quotes in the text are found out: a
+    record then ends inside quotes, or one has a terminator outside of them.
     """
     d = spec.dialect
     return bool(d.quote) and not d.escape and not d.comment and not d.comment_rows and not d.array and not spec.resource.compression and _charset(spec) == "UTF-8"
@@ -319,7 +327,23 @@ def split_records(spark: SparkSession, paths: Sequence[str], spec: ReadSpec, hea
     parts = F.sort_array(F.collect_list(F.struct("block", "kind", "raw")))
     mended = groups.groupBy("file", "nth").agg(F.array_join(F.transform(parts, lambda x: x["raw"]), end).alias("raw"))
     every = pieces.where(F.col("kind") == WHOLE).select("file", "raw").unionByName(mended.select("file", "raw"))
-    return _tokenized(every.select("file", F.lit(None).cast("long").alias("record_no"), "raw"), spec)
+    return _tokenized(every.select("file", F.lit(None).cast("long").alias("record_no"), "raw"), spec, joined=True)
+
+
+def worth_splitting(spark: SparkSession, paths: Sequence[str], spec: ReadSpec) -> bool:
+    """Whether Spark would split one of the files, and no mark says that they are in another charset.
+
+    Sizes are those of the listing; a charset mark is looked for in the first file alone, the
+    split path fails on other charsets' bytes.
+    """
+    largest = spark.read.format("binaryFile").load(list(paths)).agg(F.max("length")).first()[0] or 0
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower()).groups()
+    if largest <= int(number) << 10 * " kmgt".index(unit or " "):
+        return False
+    if spec.resource.encoding:
+        return True
+    head = spark.read.option("lineSep", spec.dialect.line_terminator).text(files(spark, paths[:1])[:1]).select(F.expr("substr(value, 1, 4)").cast("binary")).first()
+    return not head or detect(bytes(head[0]))[0] == "utf-8"
 
 
 #: Kinds of a split's pieces, in their order within a split.

@@ -143,6 +143,43 @@ def test_split_path_at_any_split_size(spark, put, size, d):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+@pytest.fixture
+def small_splits(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[0], "1k")
+    spark.conf.set(names[1], "0")
+    yield
+    for n, v in zip(names, old, strict=True):
+        spark.conf.set(n, v)
+
+
+QUOTED = Dialect(";", "\n")
+
+
+def test_large_quoted_files_are_split_by_themselves(spark, put, small_splits):
+    path = put("k;v\n" + "".join(f'{i};"line\nof ""{i}"""\n' for i in range(500)))
+    df = api.read_delimited(spark, path, ReadSpec(QUOTED))
+    assert df.rdd.getNumPartitions() > 5
+    assert sorted(rows(df)) == sorted(rows(api.read_delimited(spark, path, ReadSpec(QUOTED, scan="exact")))) and df.count() == 500
+    assert rows(api.count_records(spark, path, ReadSpec(QUOTED))) == [(500,)]
+    assert api.read_records(spark, path, ReadSpec(QUOTED)).agg(F.max("record_no")).first()[0] == 500  # numbers need whole files
+
+
+@pytest.mark.parametrize("stray", ['5" nail', 'x"', 'a "b" c"'])
+def test_stray_quotes_are_found_by_the_split_path(spark, put, small_splits, stray):
+    path = put("v\n" + "fine\n" * 300 + f"{stray}\n" + "fine\n" * 300 + '"two\nlines"\n')
+    assert api.read_delimited(spark, path, ReadSpec(QUOTED, scan="exact")).count() == 602
+    for scan_ in ("auto", "split"):
+        with pytest.raises(PySparkException, match="Malformed record"):
+            api.read_delimited(spark, path, ReadSpec(QUOTED, scan=scan_)).collect()
+
+
+def test_marked_charsets_are_not_split(spark, put, small_splits):
+    path = put("\ufeffk\n" + "é\n" * 2000, encoding="utf-16-le")
+    assert api.read_delimited(spark, path, ReadSpec(QUOTED)).distinct().collect() == [("é",)]
+
+
 def test_ragged_field_counts(spark, put):
     path = put("w;x;y;z\r\n125;foo;2025-12-25\r\n256;bar\r\n304;qrz;2025-04-01;10.25\r\n")
     df = api.read_records(spark, path, SEMI)
