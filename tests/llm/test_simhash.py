@@ -92,6 +92,16 @@ def test_shards_keep_every_near_pair():
         assert all(homes[int(x)] & homes[int(y)] for y in near)
 
 
+def test_star_forest_with_hubs(spark):
+    """A hub at the least node, one at the greatest, and a chain beside many small pairs."""
+    edges = [(0, i) for i in range(1, 3_000)] + [(90_000, 10_000 + i) for i in range(3_000)] + [(20_000 + i, 20_001 + i) for i in range(40)]
+    edges += [(30_000 + 2 * i, 30_001 + 2 * i) for i in range(5_000)]
+    got = {r["a"]: r["b"] for r in star_forest(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {i: 0 for i in range(1, 3_000)} | {10_000 + i: 10_000 for i in range(1, 3_000)} | {90_000: 10_000}
+    want |= {20_001 + i: 20_000 for i in range(40)} | {30_001 + 2 * i: 30_000 + 2 * i for i in range(5_000)}
+    assert got == want
+
+
 def test_star_forest(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 50), (7, 7), (60, 61), (61, 60), (-5, 60)]
     got = star_forest(spark.createDataFrame(edges, "a long, b long")).collect()
