@@ -111,3 +111,64 @@ def test_default_parameters_give_one_score_for_any_layout(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = [sorted((r["doc_id"], r["score"]) for r in score_documents(docs.repartition(n)).collect()) for n in (1, 5)]
     assert got[0] == got[1]
+
+
+def swept_scores(documents, p):
+    """The model by plain loops where every word moves by all its neighbours: scores, and how many sweeps stood."""
+    seqs = [(fold(d[0]), tokens(d[1])) for d in documents]
+    train = [t for out, t in seqs if not out]
+    counts = Counter(w for t in train for w in t)
+    core = ["", *sorted((w for w in counts if w), key=lambda w: (-counts[w], w.encode()))[: p.core_words - 1]]
+    number = {w: i for i, w in enumerate(core)}
+    pairs = Counter((a, b) for t in train for a, b in zip(["", *t], t, strict=False))
+    own = {}
+
+    def table(of):
+        out = np.zeros((p.classes, p.classes))
+        for (a, b), n in pairs.items():
+            if a in of and b in of:
+                out[of[a], of[b]] += n
+        return out
+
+    def step(of, words):
+        between = table(of) + p.smoothing
+        given = np.rint(65_536 * np.log(between / between.sum(axis=1, keepdims=True) / (between.sum(axis=0) / between.sum())))
+        speak = {w: np.zeros(p.classes) for w in words}
+        for (a, b), n in pairs.items():
+            if b in speak and a in of:
+                speak[b] += n * given[of[a]]
+            if a in speak and b in of:
+                speak[a] += n * given[:, of[b]]
+        return of | {w: 1 + int(s[1:].argmax()) for w, s in speak.items()}
+
+    def likelihood(of):
+        log = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+        return log(table(of)) - log(table(of).sum(axis=0)) - log(table(of).sum(axis=1))
+
+    square = np.array([[pairs[a, b] for b in core] for a in core])
+    own = dict(zip(core, exchange(square, p.classes, p.rounds, 0).tolist(), strict=True))
+    own, done = step(own, counts.keys() - number.keys()), 0
+    while done < p.sweeps and likelihood(after := step(own, counts.keys() - {""})) > likelihood(own):
+        own, done = after, done + 1
+    m = ClassModel(sum(counts.values()), len(counts), table(own).astype(np.int64), p)
+    score = lambda t: sum(math.log10(m.probability(np.array([counts[w]]), np.array([own.get(a, p.classes)]), np.array([own.get(w, p.classes)]))[0]) for a, w in zip(["", *t], t, strict=False))
+    return Counter((d[0], round(score(t), 4)) for d, (_, t) in zip(documents, seqs, strict=True)), done
+
+
+@pytest.mark.parametrize(("parts", "block_tokens"), [(1, 2_000_000), (3, 20_000)])
+def test_sweeps_match_brute_force(spark, documents, docs, parts, block_tokens):
+    p = ClassParams(classes=6, core_words=60, sweeps=3, block_tokens=block_tokens, bucket_words=4_000)
+    want, done = swept_scores(documents, p)
+    got = score_documents(docs.repartition(parts), p=p).collect()
+    assert done and Counter((r["doc_id"], round(r["score"], 4)) for r in got) == want
+
+
+def test_words_outside_the_core_teach_each_other(spark):
+    """Rare words that stand beside rare words alone: which of two kinds they are tells nothing to a model of the core."""
+    rng = np.random.default_rng(1)
+    sides = lambda a, b, n, many: [" ".join(f"{a}{x} {b}{y}" for x, y in rng.integers(0, n, (100, 2))) for _ in range(many)]
+    rows = list(enumerate(sides("f", "g", 500, 400) + sides("x", "y", 1_000, 100)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, core = ({r["doc_id"]: r["score"] for r in score_documents(df, **kw).collect() if r["held_out"]} for kw in ({}, {"p": ClassParams()}))
+    rare = [i for i in whole if i >= 400]
+    assert rare and all(whole[i] > core[i] + 1 for i in rare)
