@@ -13,8 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldstone.llm.common import new_path, parallelism, table, workers_import
-from fieldstone.llm.tokens import encoder
+from fieldstone.llm.common import TEXT_ROWS, batch_rows, new_path, parallelism, table, workers_import
+from fieldstone.llm.tokens import encoder, rest
 
 MAGIC = b"FSBP"
 #: magic, version, bits of a plane (1 or 8), ids of a block, ids in all, blocks
@@ -80,6 +80,7 @@ _DOC_ARROW = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("at", pa.in
 
 def _pack_documents(path: str, end_id: int, file_ids: int, block: int, plane_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # what is freed goes back at once
         encode, end = encoder(path).encode_many, struct.pack("<I", end_id)
         shard, seq = TaskContext.get().partitionId(), 0
         docs, sizes, parts, total = [], [], [], 0
@@ -100,6 +101,7 @@ def _pack_documents(path: str, end_id: int, file_ids: int, block: int, plane_bit
                     docs, sizes, parts, total, seq = [], [], [], 0, seq + 1
         if docs:
             yield flush()
+        rest(path)
 
     return run
 
@@ -122,7 +124,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     key = F.xxhash64("text")
     rows = rows.repartitionByRange(parallelism(spark), "doc_id", key).sortWithinPartitions("doc_id", key, "text")
-    rows.mapInArrow(_pack_documents(tokenizer, end_id, file_ids, block, plane_bits), _FILE_SCHEMA).write.parquet(path)
+    with batch_rows(spark, TEXT_ROWS):
+        rows.mapInArrow(_pack_documents(tokenizer, end_id, file_ids, block, plane_bits), _FILE_SCHEMA).write.parquet(path)
     return spark.read.schema(_FILE_SCHEMA).parquet(path)
 
 

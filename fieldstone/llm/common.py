@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldstone.sources.storage import drop_stored, new_path, shared_dir, workers_import
 
-__all__ = ["SPACE", "WORD", "batch_rows", "crc_mod", "drop_stored", "new_path", "parallelism", "shared_dir", "spread_join", "store", "table", "workers_import"]
+__all__ = ["SPACE", "TEXT_ROWS", "WORD", "batch_rows", "crc_mod", "drop_stored", "new_path", "parallelism", "shared_dir", "spread_join", "store", "table", "workers_import"]
 
 #: ASCII white space, the separator of `[^\x20\x09-\x0D]+` words.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -31,6 +31,10 @@ def store(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of whole texts that go to a Python worker at once.
+TEXT_ROWS = 1_000
+
+
 @contextmanager
 def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Fewer rows to an Arrow batch while a job runs whose rows are large."""

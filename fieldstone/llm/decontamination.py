@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldstone.llm.cells import loosen, pack, squeeze, words_of
-from fieldstone.llm.common import store, table, workers_import
+from fieldstone.llm.common import TEXT_ROWS, batch_rows, store, table, workers_import
 
 #: Bytes of a word `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` of lower-cased text stay; all others become spaces.
 _WORD_BYTES = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -85,7 +85,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Stored index segments of all terms of all documents; a document is never split over segments."""
     workers_import(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return store(rows.mapInArrow(_index_batches(segment_words), _INDEX_SCHEMA).withColumn("segment", F.expr("uuid()")), label)
+    with batch_rows(docs.sparkSession, TEXT_ROWS):
+        return store(rows.mapInArrow(_index_batches(segment_words), _INDEX_SCHEMA).withColumn("segment", F.expr("uuid()")), label)
 
 
 class Phrases:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldstone.llm.common import drop_stored, new_path, store, table, workers_import
+from fieldstone.llm.common import TEXT_ROWS, batch_rows, drop_stored, new_path, store, table, workers_import
 from fieldstone.llm.components import star_forest
 from fieldstone.llm.tokens import LOWER
 
@@ -206,7 +206,8 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, seed: in
     spark = docs.sparkSession
     workers_import(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = store(rows.mapInArrow(_fingerprints(shingle, seed), "doc_id long, fp long"), "fingerprints")
+    with batch_rows(spark, TEXT_ROWS):
+        rows = store(rows.mapInArrow(_fingerprints(shingle, seed), "doc_id long, fp long"), "fingerprints")
     nodes_at = new_path(spark, "distinct")
     nodes = store(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct", nodes_at)
     forest = star_forest(fingerprint_links(nodes, radius))

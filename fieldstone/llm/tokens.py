@@ -151,6 +151,13 @@ def encoder(path: str):
     return _ByWord(path) if _drops_space(path) else _Whole(path)
 
 
+def rest(path: str) -> None:
+    """At a task's end: an idle worker keeps the younger generation of its cache alone."""
+    model = encoder(path)
+    if isinstance(model, _ByWord):
+        model._old = {}
+
+
 def space_free(path: str) -> bool:
     """True if runs of white space never change the ids."""
     return _drops_space(path)

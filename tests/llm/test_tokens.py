@@ -1,12 +1,14 @@
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from fieldstone.llm import tokens
+from fieldstone.llm import bitplanes, tokens
 from fieldstone.llm.bitplanes import pack, read_token_files, unpack, write_token_files
 from fieldstone.llm.common import new_path
 from fieldstone.llm.token_counts import count_tokens
@@ -99,3 +101,32 @@ def test_files_match_library(spark, clashing, documents, library, empty):
     assert [g[0] for g in got] == sorted((d[0] for d in documents), key=lambda i: (i is not None, i))
     write_token_files(empty, at + "e", WORDS)
     assert read_token_files(spark, at + "e").count() == 0
+
+
+def test_workers_get_few_texts_at_once(spark, monkeypatch):
+    def count(*_):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((0, 0, b.num_rows, [], [], b""), schema, strict=True)], schema=schema)
+
+        return run
+
+    schema = bitplanes._FILE_ARROW
+    monkeypatch.setattr(bitplanes, "_pack_documents", count)
+    at = new_path(spark, "few")
+    write_token_files(spark.range(6_000).selectExpr("id AS doc_id", "'a' AS text"), at, WORDS)
+    sizes = [r[0] for r in spark.read.parquet(at).select("n_ids").collect()]
+    assert sum(sizes) == 6_000 and max(sizes) <= 1_000
+
+
+def test_an_idle_worker_keeps_one_generation_of_words(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 3)
+    monkeypatch.setattr(tokens, "GROUP_CHARS", 10)
+    monkeypatch.setattr(bitplanes, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    encoder = tokens._ByWord(WORDS)
+    monkeypatch.setattr(tokens, "encoder", lambda path: encoder)
+    monkeypatch.setattr(bitplanes, "encoder", lambda path: encoder)
+    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array(["one two three four", "five six seven eight", "nine ten"])], names=["doc_id", "text"])
+    files = list(bitplanes._pack_documents(WORDS, 1, 1 << 20, 1_024, 8)(iter([batch])))
+    assert files[0].column("n_tokens")[0].as_py() == [1 + len(ids(encoder._model, t.as_py())) for t in batch.column("text")]
+    assert encoder._young and not encoder._old
