@@ -7,8 +7,6 @@ line is well formed just if the matches cover it.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,8 +57,3 @@ def _token(t: Column, d: Dialect) -> Column:
     value = F.when(quoted, inside).otherwise(t)
     doubled = quoted & has(inside, d.quote) if d.double_quote else F.lit(False)
     return F.struct(value.alias("value"), quoted.alias("quoted"), (has(t, d.escape) | doubled).alias("escaped"), none)
-
-
-def line_pattern(d: Dialect) -> str:
-    """The terminator as a pattern that splits a whole text into lines."""
-    return "".join(re.escape(c) if c.isascii() and not c.isspace() else _java(c) for c in d.line_terminator)

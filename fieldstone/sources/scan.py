@@ -2,9 +2,9 @@
 
 Four physical paths give the same rows where each is legal:
 
-exact       whole files through the Python tokenizer, in Arrow batches; any dialect
+exact       files through the Python tokenizer piece by piece, in Arrow batches; any
+            dialect; larger files split where nothing but delimiters is to be found
 expression  one line per record, tokenized by Column expressions; splittable
-            unless records have to be numbered
 split       quoted fields may hold terminators; files are split by the parity of quotes
 native      Spark's own CSV source (see `api.read_delimited`); splittable
 """
@@ -12,17 +12,20 @@ native      Spark's own CSV source (see `api.read_delimited`); splittable
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import islice
+from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldstone.operators import tokenizer as tk
-from fieldstone.operators.expression import FIELDS, line_pattern, tokenize
+from fieldstone.operators.expression import FIELDS, tokenize
 from fieldstone.plans.spec import Dialect, ReadSpec, SpecError
-from fieldstone.sources.resource import DECOMPRESSORS, detect, text_of
-from fieldstone.sources.storage import workers_import
+from fieldstone.sources.resource import DECOMPRESSORS, detect, pieces_of
+from fieldstone.sources.storage import read_head, workers_import
 
 RECORDS = f"file string, record_no long, raw string, fields {FIELDS}, error string"
 _FIELD = pa.list_(pa.struct([("value", pa.string()), ("quoted", pa.bool_()), ("escaped", pa.bool_()), ("children", pa.list_(pa.string()))]))
@@ -47,8 +50,8 @@ def files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     return found
 
 
-def text_files(spark: SparkSession, paths: Sequence[str], spec: ReadSpec, detector: Callable = detect) -> DataFrame:
-    """(path, text): whole files, decompressed and decoded where they lie."""
+def from_files(spark: SparkSession, paths: Sequence[str], spec: ReadSpec, detector: Callable, make: Callable[[str, Iterator[str]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """`make` over each file's path and its text in pieces, decompressed and decoded where it lies."""
     workers_import(spark)
     decompress = DECOMPRESSORS.get(spec.resource.compression) if spec.resource.compression else None
     encoding = spec.resource.encoding
@@ -56,9 +59,46 @@ def text_files(spark: SparkSession, paths: Sequence[str], spec: ReadSpec, detect
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column("path"), b.column("content"), strict=True):
-                yield pa.record_batch([pa.array([path.as_py()]), pa.array([text_of(content.as_py(), encoding, decompress, detector)], pa.string())], names=["path", "text"])
+                yield from make(path.as_py(), pieces_of(content.as_buffer(), encoding, decompress, detector))
 
-    return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInArrow(run, "path string, text string")
+    return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInArrow(run, schema)
+
+
+def from_head(spark: SparkSession, path: str, spec: ReadSpec, detector: Callable, find: Callable[[Iterable[str]], Any], pack: Callable[[Any], pa.RecordBatch], schema: str) -> Any:
+    """What `find` makes of a file's text in pieces, from no more of its first bytes than it asks for.
+
+    The driver reads the head; a compressed file, or one of which `find` wants
+    more than the driver is to hold, is read where it lies, and `pack` makes a
+    row of what is found. None for an empty folder.
+    """
+
+    def pieces(data: bytes, whole: bool) -> Iterator[str]:
+        yield from pieces_of(data, spec.resource.encoding, None, detector, whole)
+        if not whole:
+            raise _MoreNeeded
+
+    size = _HEAD_BYTES
+    while not spec.resource.compression and size <= _MOST_HEAD_BYTES:
+        data = read_head(spark, path, size)
+        try:
+            return find(pieces(data, len(data) < size))
+        except _MoreNeeded:
+            size *= 16
+        except (tk.MalformedError, UnicodeDecodeError):  # an error of the job that meets it
+            break
+
+    def make(_: str, text: Iterator[str]) -> Iterator[pa.RecordBatch]:
+        yield pack(find(text))
+
+    return from_files(spark, [path], spec, detector, make, schema).first()
+
+
+class _MoreNeeded(Exception):
+    """A file's head does not hold what is looked for."""
+
+
+#: Bytes of a file that the driver looks at first, and at most.
+_HEAD_BYTES, _MOST_HEAD_BYTES = 1 << 16, 1 << 24
 
 
 class _Batch:
@@ -113,13 +153,10 @@ def _rows(path: str, found: Iterator[tk.Record], skip: frozenset[int]) -> Iterat
     yield batch.arrow()
 
 
-def _plain_rows(path: str, text: str, d: Dialect, skip: frozenset[int]) -> Iterator[pa.RecordBatch]:
+def _plain_rows(path: str, pieces: Iterable[str], d: Dialect, skip: frozenset[int]) -> Iterator[pa.RecordBatch]:
     """The same for dialects of delimiters and terminators alone: nothing to match."""
-    lines = text.split(d.line_terminator)
-    if lines and not lines[-1]:
-        lines.pop()
     batch = _Batch(path)
-    for number, line in enumerate(lines[max(d.header_rows, default=0) :], 1):
+    for number, line in enumerate(islice(_lines_of(pieces, d.line_terminator), max(d.header_rows, default=0), None), 1):
         if number in skip:
             continue
         batch.add_plain(number, line, line.split(d.delimiter))
@@ -128,73 +165,89 @@ def _plain_rows(path: str, text: str, d: Dialect, skip: frozenset[int]) -> Itera
     yield batch.arrow()
 
 
-def _headed(text: str, d: Dialect, mode: str) -> Iterator[tk.Record]:
+def _lines_of(pieces: Iterable[str], end: str) -> Iterator[str]:
+    rest = ""
+    for p in pieces:
+        *lines, rest = (rest + p).split(end)
+        yield from lines
+    if rest:
+        yield rest
+
+
+def _headed(pieces: Iterable[str], d: Dialect, mode: str) -> Iterator[tk.Record]:
     """Numbered records after the header; blank trailing text gives none."""
-    found = tk.records(text, d, mode)
+    found = tk.records_of(pieces, d, mode)
     return tk.split_header(found, d)[1] if d.header else found
 
 
+def _plain(d: Dialect) -> bool:
+    return not d.quote and not d.escape and not d.comment and not d.array and not d.skip_initial_space
+
+
 def exact_records(spark: SparkSession, paths: Sequence[str], spec: ReadSpec, headerless: frozenset[str] = frozenset(), detector: Callable = detect) -> DataFrame:
-    """Records by the exact tokenizer, one task per file; any grammar, any encoding.
+    """Records by the exact tokenizer, any grammar, any encoding; one task per file.
 
+    Larger files of a dialect without anything but delimiters are split: their
+    lines are records, whatever lies before them.
     `headerless`: files without the header that the dialect names.
     """
     d, mode, skip = spec.dialect, spec.options.mode, frozenset(spec.dialect.comment_rows)
-    texts = text_files(spark, paths, spec, detector)
-    plain = not d.quote and not d.escape and not d.comment and not d.array and not d.skip_initial_space
+    if _plain(d) and detector is detect and expression_legal(spec) and worth_splitting(spark, paths, spec, _LARGE):
+        return _plain_lines(spark, paths, spec, headerless)
+
+    def make(path: str, pieces: Iterator[str]) -> Iterator[pa.RecordBatch]:
+        own = d.without_header() if path in headerless else d
+        yield from _plain_rows(path, pieces, own, skip) if _plain(d) else _rows(path, _headed(pieces, own, mode), skip)
+
+    return from_files(spark, paths, spec, detector, make, RECORDS)
+
+
+#: Bytes from which a file of a plain dialect is split.
+_LARGE = 16 << 20
+
+
+def _plain_lines(spark: SparkSession, paths: Sequence[str], spec: ReadSpec, headerless: frozenset[str]) -> DataFrame:
+    """`_plain_rows` of files that Spark splits."""
+    workers_import(spark)
+    delimiter = spec.dialect.delimiter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, text in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True):
-                own = d.without_header() if path in headerless else d
-                yield from _plain_rows(path, text, own, skip) if plain else _rows(path, _headed(text, own, mode), skip)
+        for whole in batches:
+            for at in range(0, whole.num_rows, _BATCH):
+                b = whole.slice(at, _BATCH)
+                raw = pc.cast(b.column("raw"), pa.string())
+                cells = pc.split_pattern(raw, delimiter)
+                n = len(cells.flatten())
+                no = pa.repeat(pa.scalar(False), n)
+                tokens = pa.StructArray.from_arrays([cells.flatten(), no, no, pa.nulls(n, pa.list_(pa.string()))], fields=list(_FIELD.value_type))
+                ends = pc.subtract(cells.offsets, cells.offsets[0])
+                fields = pa.ListArray.from_arrays(ends, tokens, type=_FIELD)
+                yield pa.RecordBatch.from_arrays([pc.cast(b.column("file"), pa.string()), b.column("record_no"), raw, fields, pa.nulls(b.num_rows, pa.string())], schema=_RECORDS)
 
-    return texts.mapInArrow(run, RECORDS)
+    return _lines(spark, paths, spec, headerless, True).mapInArrow(run, RECORDS)
 
 
 def exact_counts(spark: SparkSession, paths: Sequence[str], spec: ReadSpec, headerless: frozenset[str] = frozenset(), detector: Callable = detect) -> DataFrame:
     """n: each file's records after the header, comments and skipped rows left out."""
     d, mode, skip = spec.dialect, spec.options.mode, frozenset(spec.dialect.comment_rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts = []
-            for path, text in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True):
-                own = d.without_header() if path in headerless else d
-                counts.append(sum(not r.comment and r.number not in skip for r in _headed(text, own, mode)))
-            yield pa.record_batch([pa.array(counts, pa.int64())], names=["n"])
-
-    return text_files(spark, paths, spec, detector).mapInArrow(run, "n long")
-
+    def make(path: str, pieces: Iterator[str]) -> Iterator[pa.RecordBatch]:
+        own = d.without_header() if path in headerless else d
+        n = sum(not r.comment and r.number not in skip for r in _headed(pieces, own, mode))
+        yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
 
-def _head(spark: SparkSession, path: str, spec: ReadSpec) -> tuple[str, bool] | None:
-    """The first lines of a file that Spark decodes, and whether they are all; None for other files."""
-    if _charset(spec) != "UTF-8" or spec.resource.compression:
-        return None
-    lines = [r[0] for r in spark.read.option("lineSep", spec.dialect.line_terminator).text(path).limit(_HEAD_LINES).collect()]
-    return spec.dialect.line_terminator.join(lines).removeprefix("\ufeff"), len(lines) < _HEAD_LINES
+    return from_files(spark, paths, spec, detector, make, "n long")
 
 
 def first_raw(spark: SparkSession, path: str, spec: ReadSpec, detector: Callable = detect) -> str | None:
     """The text of a file's first record that is no comment; None without one."""
     d, mode = spec.dialect, spec.options.mode
 
-    def first(text: str, mode: str) -> tk.Record | None:
-        return next((r for r in tk.records(text, d, mode) if not r.comment and r.number not in d.comment_rows), None)
-
-    head = _head(spark, path, spec) if spec.resource.encoding else None  # an undeclared charset may be another by its mark
-    if head:
-        r = first(head[0], "permissive")
-        if r and not r.error and (head[1] or not head[0].endswith(r.raw)):
-            return r.raw
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [r.raw for r in (first(t, mode) for t in b.column("text").to_pylist()) if r]
-            yield pa.record_batch([pa.array(found, pa.string())], names=["raw"])
+    def find(pieces: Iterable[str]) -> tuple[str | None]:
+        return (next((r.raw for r in tk.records_of(pieces, d, mode) if not r.comment and r.number not in d.comment_rows), None),)
 
-    row = text_files(spark, [path], spec, detector).mapInArrow(run, "raw string").first()
-    return row["raw"] if row else None
+    found = from_head(spark, path, spec, detector, find, lambda x: pa.record_batch([pa.array(x, pa.string())], names=["raw"]), "raw string")
+    return found[0] if found else None
 
 
 def expression_legal(spec: ReadSpec) -> bool:
@@ -207,30 +260,55 @@ def expression_legal(spec: ReadSpec) -> bool:
 def expression_records(spark: SparkSession, paths: Sequence[str], spec: ReadSpec, headerless: frozenset[str] = frozenset(), numbered: bool = True) -> DataFrame:
     """Records by Column expressions.
 
-    Without a header, numbers or comment rows the scan splits files; record_no is
-    then null. Else each file is one row that is parted into numbered lines.
+    The scan splits files; record_no is null without a header, numbers or comment rows.
     """
-    d = spec.dialect
     if not expression_legal(spec):
         raise SpecError("the expression path needs records that are lines: see expression_legal")
+    return _tokenized(_lines(spark, paths, spec, headerless, numbered), spec)
+
+
+def _split_lines(spark: SparkSession, paths: Sequence[str], d: Dialect) -> DataFrame:
+    """(file, block, value): lines of files that Spark splits, and where their splits begin."""
+    return spark.read.option("lineSep", d.line_terminator).text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
+def _splits(sums: DataFrame) -> list:
+    """A row for each split, in their order."""
+    found = sums.orderBy("file", "block").limit(MAX_SPLITS + 1).collect()
+    if len(found) > MAX_SPLITS:
+        raise SpecError(f"more than {MAX_SPLITS} splits: read the files in parts")
+    return found
+
+
+def _lines(spark: SparkSession, paths: Sequence[str], spec: ReadSpec, headerless: frozenset[str], numbered: bool) -> DataFrame:
+    """(file, record_no, raw): lines without the header and comments, from files that Spark splits.
+
+    With a header, numbers or comment rows a first pass counts each split's
+    lines; the sums before a split and a line's place in it give its number,
+    without a shuffle. Else record_no is null.
+    """
+    d = spec.dialect
+    lines = _split_lines(spark, paths, d)
     comment = F.startswith(F.col("raw"), F.lit(d.comment)) if d.comment else F.lit(False)
     if not (d.header or d.comment_rows or numbered):
-        lines = spark.read.option("lineSep", d.line_terminator).text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.lit(None).cast("long").alias("record_no"), F.col("value").alias("raw"))
-        lines = lines.where(~comment) if d.comment else lines
-    else:
-        text = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\\x{feff}", "").alias("text"))
-        end = line_pattern(d)
-        whole = F.split(F.regexp_replace("text", f"(?:{end})\\z", ""), end, -1)  # what follows the last terminator is no record
-        lines = text.where("text <> ''").select("file", F.posexplode(whole).alias("at", "raw"))
-        last = F.lit(max(d.header_rows, default=0))
-        if headerless:
-            last = F.when(F.col("file").isin(*headerless), 0).otherwise(last)
-        lines = lines.select("file", (F.col("at") + 1 - last).cast("long").alias("record_no"), "raw").where("record_no > 0")
-        if d.comment:
-            lines = lines.where(~comment)
-        if d.comment_rows:
-            lines = lines.where(~F.col("record_no").isin(*d.comment_rows))
-    return _tokenized(lines, spec)
+        lines = lines.select("file", F.lit(None).cast("long").alias("record_no"), F.col("value").alias("raw"))
+        return lines.where(~comment) if d.comment else lines
+    placed = lines.withColumn("at", F.monotonically_increasing_id())  # in the order of lines within a split
+    starts, now, name = [], 0, None
+    for r in _splits(placed.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))):
+        if r["file"] != name:
+            now, name = 1 - (0 if r["file"] in headerless else max(d.header_rows, default=0)), r["file"]
+        starts.append((name, r["block"], now - r["first"], r["first"], r["first"] + r["n"]))
+        now += r["n"]
+    known = F.broadcast(spark.createDataFrame(starts, "file string, block long, shift long, low long, high long"))
+    unknown = F.raise_error(F.lit("The files' splits changed between two passes.")).cast("long")
+    number = F.when((F.col("at") >= F.col("low")) & (F.col("at") < F.col("high")), F.col("at") + F.col("shift")).otherwise(unknown)
+    lines = placed.join(known, ["file", "block"], "left").select("file", number.alias("record_no"), F.col("value").alias("raw")).where("record_no > 0")
+    if d.comment:
+        lines = lines.where(~comment)
+    if d.comment_rows:
+        lines = lines.where(~F.col("record_no").isin(*d.comment_rows))
+    return lines
 
 
 def _tokenized(lines: DataFrame, spec: ReadSpec, joined: bool = False) -> DataFrame:
@@ -276,14 +354,11 @@ def split_records(spark: SparkSession, paths: Sequence[str], spec: ReadSpec, hea
     workers_import(spark)
     d = spec.dialect
     quote, end, last = d.quote, d.line_terminator, max(d.header_rows, default=0)
-    lines = spark.read.option("lineSep", end).text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    lines = _split_lines(spark, paths, d)
     odd = (F.sum(F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))) % 2).cast("int")
-    sums = lines.groupBy("file", "block").agg(odd.alias("odd")).orderBy("file", "block").limit(MAX_SPLITS + 1).collect()
-    if len(sums) > MAX_SPLITS:
-        raise SpecError(f"more than {MAX_SPLITS} splits: read the files in parts")
     inside: dict[tuple[str, int], int] = {}
     now, name = 0, None
-    for r in sums:
+    for r in _splits(lines.groupBy("file", "block").agg(odd.alias("odd"))):
         now, name = (now if r["file"] == name else 0), r["file"]
         inside[name, r["block"]] = now
         now ^= r["odd"]
@@ -330,15 +405,16 @@ def split_records(spark: SparkSession, paths: Sequence[str], spec: ReadSpec, hea
     return _tokenized(every.select("file", F.lit(None).cast("long").alias("record_no"), "raw"), spec, joined=True)
 
 
-def worth_splitting(spark: SparkSession, paths: Sequence[str], spec: ReadSpec) -> bool:
-    """Whether Spark would split one of the files, and no mark says that they are in another charset.
+def worth_splitting(spark: SparkSession, paths: Sequence[str], spec: ReadSpec, most: int | None = None) -> bool:
+    """Whether Spark would split one of the files, or one has more than `most` bytes, and no mark says that they are in another charset.
 
     Sizes are those of the listing; a charset mark is looked for in the first file alone, the
     split path fails on other charsets' bytes.
     """
     largest = spark.read.format("binaryFile").load(list(paths)).agg(F.max("length")).first()[0] or 0
     number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower()).groups()
-    if largest <= int(number) << 10 * " kmgt".index(unit or " "):
+    limit = int(number) << 10 * " kmgt".index(unit or " ")
+    if largest <= (limit if most is None else min(limit, most)):
         return False
     if spec.resource.encoding:
         return True
@@ -395,35 +471,25 @@ def native_rows(spark: SparkSession, paths: Sequence[str], spec: ReadSpec, width
     return reader.csv(list(paths))
 
 
-#: Lines of a file's head that the driver looks at for its header.
-_HEAD_LINES = 200
+#: Names of files that Spark decompresses by itself, and lines of their head that are looked at.
+_CODECS, _HEAD_LINES = (".gz", ".bz2", ".deflate", ".snappy", ".lz4", ".zst"), 200
 
 
 def header_rows(spark: SparkSession, path: str, spec: ReadSpec, detector: Callable = detect) -> tuple[list[list[str]], int]:
-    """A file's header rows and the number of fields of its first record.
-
-    The first lines tell, where Spark reads the charset and they hold whole
-    records; else the exact tokenizer reads the file.
-    """
+    """A file's header rows and the number of fields of its first record."""
     d = spec.dialect
-    if _charset(spec) == "UTF-8" and not spec.resource.compression and detector is detect and spec.scan in ("native", "expression", "split"):
+    if not spec.resource.compression and detector is detect and spec.scan in ("native", "expression", "split") and path.endswith(_CODECS):
         head = [r[0] for r in spark.read.option("lineSep", d.line_terminator).text(path).limit(_HEAD_LINES).collect()]
-        found = _first(d.line_terminator.join(head).removeprefix("\ufeff"), d)
-        if found[1] or len(head) < _HEAD_LINES:
-            return found
-    texts = text_files(spark, [path], spec, detector)
+        return _first([d.line_terminator.join(head)], d)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                rows, width = _first(text, d)
-                yield pa.record_batch([pa.array([rows], pa.list_(pa.list_(pa.string()))), pa.array([width], pa.int64())], names=["rows", "width"])
+    def pack(found: tuple[list[list[str]], int]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([found[0]], pa.list_(pa.list_(pa.string()))), pa.array([found[1]], pa.int64())], names=["rows", "width"])
 
-    r = texts.mapInArrow(run, "rows array<array<string>>, width long").first()
-    return (r["rows"], r["width"]) if r else ([], 0)
+    found = from_head(spark, path, spec, detector, lambda pieces: _first(pieces, d), pack, "rows array<array<string>>, width long")
+    return (found[0], found[1]) if found else ([], 0)
 
 
-def _first(text: str, d: Dialect) -> tuple[list[list[str]], int]:
-    rows, rest = tk.split_header(tk.records(text, d, "permissive"), d)
+def _first(pieces: Iterable[str], d: Dialect) -> tuple[list[list[str]], int]:
+    rows, rest = tk.split_header(tk.records_of(pieces, d, "permissive"), d)
     first = next((r for r in rest if not r.comment and r.number not in d.comment_rows), None)
     return rows, len(first.tokens) if first else 0

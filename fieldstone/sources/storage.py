@@ -53,6 +53,16 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> str:
     return path
 
 
+def read_head(spark: SparkSession, path: str, size: int) -> bytes:
+    """The first bytes of a file of any file system that Spark knows."""
+    at, fs = _file_system(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readNBytes(size))
+    finally:
+        stream.close()
+
+
 #: The C library's allocator: few arenas, and large blocks of their own that go back when freed.
 _MALLOC = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "131072", "MALLOC_TRIM_THRESHOLD_": "131072"}
 

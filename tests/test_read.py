@@ -180,6 +180,50 @@ def test_marked_charsets_are_not_split(spark, put, small_splits):
     assert api.read_delimited(spark, path, ReadSpec(QUOTED)).distinct().collect() == [("é",)]
 
 
+PLAIN = Dialect("|", "\n", quote=None)
+
+
+@pytest.mark.parametrize("scan_", ["exact", "expression"])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "|@#"])
+def test_large_files_of_lines_are_split_and_numbered(spark, put, small_splits, scan_, end):
+    d = dataclasses.replace(PLAIN, delimiter=";", line_terminator=end, comment_rows=(2, 450))
+    path = put("\ufeffk;v" + end + "".join(f"{i};{'é' * (i % 7)}" + end for i in range(1, 501)))
+    read = ReadSpec(d, S.indexed(FieldSpec("int"), FieldSpec()), scan=scan_)
+    df = api.read_delimited(spark, path, read)
+    assert df.rdd.getNumPartitions() > 5 and df.columns == ["k", "v"]
+    want = [(i, "é" * (i % 7)) for i in range(1, 501) if i not in (2, 450)]
+    assert sorted(rows(df)) == want
+    numbered = api.read_records(spark, path, read).select("record_no", F.col("fields")[0]["value"].cast("int"))
+    assert sorted(rows(numbered)) == [(k, k) for k, _ in want]
+    two = [path, put("".join(f"{i};" + end for i in range(501, 701)), "b.csv")]
+    once = dataclasses.replace(read, dialect=dataclasses.replace(d, comment_rows=(), header_repeat=False))
+    assert sorted(r[0] for r in rows(api.read_delimited(spark, two, once))) == list(range(1, 701))
+
+
+def test_headed_lines_are_split_and_errors_keep_their_number(spark, put, small_splits):
+    """No file is one row, and a header read by the dialect is cut from its file, wherever splits lie."""
+    read = ReadSpec(Dialect(";", header_rows=(2,)), multiline=False)
+    path = put("a title\r\nk;v\r\n" + "".join(f"{i};x\r\n" for i in range(1, 901)) + "1;2;3\r\n")
+    with pytest.raises(PySparkException, match="record 902 contains 1 more field"):
+        api.read_delimited(spark, path, read).collect()
+    df = api.read_delimited(spark, path, dataclasses.replace(read, options=Options(mode="permissive")))
+    assert df.rdd.getNumPartitions() > 5 and df.count() == 901 and df.where("_error is null").count() == 900
+
+
+def test_names_need_a_files_head_alone(spark, put, monkeypatch):
+    def whole(*_):
+        raise AssertionError("the whole file is read")
+
+    path = put("k;v\r\n" + "1;x\r\n" * 50_000)
+    with monkeypatch.context() as m:
+        m.setattr(scan, "from_files", whole)
+        for read in (SEMI, dataclasses.replace(SEMI, multiline=False)):
+            assert scan.header_rows(spark, path, read) == ([["k", "v"]], 2)
+        assert scan.first_raw(spark, path, SEMI) == "k;v"
+    long = put('"' + "k" * 200_000 + '";v\r\n1;x\r\n', "long.csv")
+    assert [len(n) for n in api.read_delimited(spark, long, SEMI).columns] == [200_000, 1]
+
+
 def test_ragged_field_counts(spark, put):
     path = put("w;x;y;z\r\n125;foo;2025-12-25\r\n256;bar\r\n304;qrz;2025-04-01;10.25\r\n")
     df = api.read_records(spark, path, SEMI)

@@ -144,3 +144,12 @@ def test_expression_agrees_with_exact(spark, d):
             assert got[i] is None, line
         else:
             assert [(f["value"], f["quoted"], f["escaped"]) for f in got[i]] == [(t.value, t.quoted, t.escaped) for t in want.tokens], line
+
+
+@pytest.mark.parametrize("mode", ["permissive", "drop"])
+@pytest.mark.parametrize("text", ["'a''b;\r\n';c\r\n# n\r\n\r\nx\r;y\r\n'z", "a;'b'x\r\nc;'d'\r\n", "\\\r\n;'\\'\r\n'\r\nz;", "'';''\r\n'"])
+def test_text_in_pieces_has_the_same_records(text, mode):
+    d = Dialect(";", quote="'", escape="\\", comment="#")
+    for size in range(1, len(text) + 1):
+        pieces = [text[i : i + size] for i in range(0, len(text), size)]
+        assert list(tk.records_of(pieces, d, mode)) == list(tk.records(text, d, mode))
