@@ -145,9 +145,7 @@ _ORDERS = "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders"
 def _batch(spark: SparkSession, sf_dir: str, repeat: bool) -> DataFrame:
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     d = dataclasses.replace(SEMI, header_repeat=repeat)
-    paths = [encode.write_table(df.where(F.col("o_orderkey") % 3 == k), d if repeat or not k else BARE) for k in range(3)]
-    if not repeat:  # one file each, so that only the first has the header
-        paths = [paths[0]] + [encode.write_lines(encode.lines(df.where(F.col("o_orderkey") % 3 == k), d).coalesce(1), d) for k in (1, 2)]
+    paths = [encode.write_table(df.where(F.col("o_orderkey") % 3 == k), d if repeat or not k else BARE) for k in range(3)]  # only the first has the header, or each file
     return api.read_delimited(spark, paths, ReadSpec(d, S.indexed(*fields_of(df)), multiline=False))
 
 

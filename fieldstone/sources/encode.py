@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldstone.plans.spec import Dialect
-from fieldstone.sources.storage import new_path
+from fieldstone.sources.storage import holds_bytes, new_path, write_bytes
 
 
 def text_of_column(df: DataFrame, name: str) -> Column:
@@ -44,19 +44,28 @@ def lines(df: DataFrame, d: Dialect, columns: Sequence[str] | None = None, null:
 
 
 def write_lines(rows: DataFrame, d: Dialect, header: Sequence[str] = (), path: str | None = None, suffix: dict | None = None) -> str:
-    """Write lines to a new folder: one file with its header lines, or many without."""
+    """Write lines to a new folder, a file of each partition where it lies.
+
+    Each file begins with the header lines. Where the dialect has them once, or
+    there are no rows, they are a file of their own, the first by name.
+    """
     spark = rows.sparkSession
     path = path or new_path(spark, "text")
-    if header:
-        rows = spark.createDataFrame([(h,) for h in header], "value string").coalesce(1).unionByName(rows).coalesce(1)
+    head = "".join(h + d.line_terminator for h in header)
+    if header and d.header_repeat:
+        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+        value = F.coalesce("value", F.lit(""))
+        rows = rows.select(F.when(first, F.concat(F.lit(head), value)).otherwise(value).alias("value"))
     writer = rows.write.option("lineSep", d.line_terminator)
     for k, v in (suffix or {}).items():
         writer = writer.option(k, v)
     writer.text(path)
+    if header and not (d.header_repeat and holds_bytes(spark, path)):
+        write_bytes(spark, f"{path}/header", head.encode((suffix or {}).get("encoding", "utf-8")))
     return path
 
 
 def write_table(df: DataFrame, d: Dialect, path: str | None = None, quote_all: bool = False, null: str = "") -> str:
-    """A table as text: one file with a header, or many files where the dialect has none."""
+    """A table as text: files of which each has the header, if the dialect has one (see `write_lines`)."""
     header = [d.delimiter.join(df.columns)] if d.header else []
     return write_lines(lines(df, d, null=null, quote_all=quote_all), d, header, path)

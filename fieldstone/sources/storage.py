@@ -53,6 +53,12 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> str:
     return path
 
 
+def holds_bytes(spark: SparkSession, path: str) -> bool:
+    """Whether a folder has a file that is not empty."""
+    at, fs = _file_system(spark, path)
+    return fs.getContentSummary(at).getLength() > 0
+
+
 def read_head(spark: SparkSession, path: str, size: int) -> bytes:
     """The first bytes of a file of any file system that Spark knows."""
     at, fs = _file_system(spark, path)

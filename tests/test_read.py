@@ -224,6 +224,26 @@ def test_names_need_a_files_head_alone(spark, put, monkeypatch):
     assert [len(n) for n in api.read_delimited(spark, long, SEMI).columns] == [200_000, 1]
 
 
+@pytest.mark.parametrize("repeat", [True, False])
+def test_tables_with_a_header_are_written_in_parts(spark, repeat):
+    """No task gathers the table: each partition is a file, with the header or after a file of it."""
+    from pathlib import Path
+
+    from fieldstone.sources import encode
+
+    d = Dialect(";", "\n", header_repeat=repeat)
+    df = spark.range(1000).select("id", F.concat(F.lit("a;\n"), "id").alias("v")).repartition(7)
+    path = encode.write_table(df, d)
+    sizes = [f.stat().st_size for f in Path(path).glob("part-*")]
+    assert len(sizes) == 7 and max(sizes) < sum(sizes) / 4
+    for p in ("exact", "split"):
+        read = ReadSpec(d, S.indexed(FieldSpec("long"), FieldSpec()), scan=p)
+        assert sorted(rows(api.read_delimited(spark, path, read))) == sorted(rows(df))
+    assert rows(api.count_records(spark, path, ReadSpec(d))) == [(1000,)]
+    none = api.read_delimited(spark, encode.write_table(df.where("id < 0"), d), ReadSpec(d))
+    assert none.columns == ["id", "v"] and none.count() == 0
+
+
 def test_ragged_field_counts(spark, put):
     path = put("w;x;y;z\r\n125;foo;2025-12-25\r\n256;bar\r\n304;qrz;2025-04-01;10.25\r\n")
     df = api.read_records(spark, path, SEMI)
