@@ -18,7 +18,7 @@ from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldstone.operators import tokenizer as tk
@@ -318,7 +318,7 @@ def _tokenized(lines: DataFrame, spec: ReadSpec, joined: bool = False) -> DataFr
     """
     fields, end = tokenize(F.col("raw"), spec.dialect), F.lit(spec.dialect.line_terminator)
     if joined:
-        torn = F.contains("raw", end) & F.exists(fields, lambda f: ~f["quoted"] & F.contains(f["value"], end))
+        torn = F.contains("raw", end) & F.exists(fields, lambda f: ~f["quoted"] & F.contains(_bare(f["value"], spec.dialect), end))
         fields = F.when(~F.coalesce(torn, F.lit(False)), fields)
     bad = F.concat(F.lit("Malformed record: "), F.col("raw"))
     if spec.options.mode == "failfast":
@@ -330,22 +330,30 @@ def _tokenized(lines: DataFrame, spec: ReadSpec, joined: bool = False) -> DataFr
     return out.withColumn("error", F.when(F.col("fields").isNull(), bad)).withColumn("fields", F.coalesce("fields", F.array().cast(FIELDS)))
 
 
+def _bare(text: Column, d: Dialect) -> Column:
+    """A text without its escapes and what they escape; one at the end is left."""
+    return F.when(F.contains(text, F.lit(d.escape)), F.regexp_replace(text, f"\\x{{{ord(d.escape):x}}}[\\s\\S]", "")).otherwise(text) if d.escape else text
+
+
 def split_legal(spec: ReadSpec) -> bool:
     """Whether the quotes before a place tell if it lies inside a quoted field.
 
-    So it is where quotes only enclose fields or are doubled in them; comments,
-    escapes and arrays rule it out. Other quotes in the text are found out: a
+    So it is where quotes only enclose fields, or are doubled or escaped in them;
+    comments and arrays rule it out. Other quotes in the text are found out: a
     record then ends inside quotes, or one has a terminator outside of them.
     """
     d = spec.dialect
-    return bool(d.quote) and not d.escape and not d.comment and not d.comment_rows and not d.array and not spec.resource.compression and _charset(spec) == "UTF-8"
+    if d.escape and (d.escape == d.quote or d.escape in d.line_terminator):
+        return False
+    return bool(d.quote) and not d.comment and not d.comment_rows and not d.array and not spec.resource.compression and _charset(spec) == "UTF-8"
 
 
 def split_records(spark: SparkSession, paths: Sequence[str], spec: ReadSpec, headerless: frozenset[str] = frozenset()) -> DataFrame:
     """Records whose quoted fields hold terminators, from files that Spark splits.
 
-    A first pass sums the quotes of each split; the sums' parities say which
-    splits begin inside a quoted field. A second pass joins lines to records
+    A first pass sums the quotes of each split, escaped ones left out; the sums'
+    parities say which splits begin inside a quoted field, and an escape at the
+    end of a split's last line that its record goes on. A second pass joins lines to records
     within each split, without a shuffle. What crosses a split's border, two
     pieces a split at most, is put together by file. record_no is null.
     """
@@ -355,13 +363,16 @@ def split_records(spark: SparkSession, paths: Sequence[str], spec: ReadSpec, hea
     d = spec.dialect
     quote, end, last = d.quote, d.line_terminator, max(d.header_rows, default=0)
     lines = _split_lines(spark, paths, d)
-    odd = (F.sum(F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))) % 2).cast("int")
-    inside: dict[tuple[str, int], int] = {}
-    now, name = 0, None
-    for r in _splits(lines.groupBy("file", "block").agg(odd.alias("odd"))):
-        now, name = (now if r["file"] == name else 0), r["file"]
-        inside[name, r["block"]] = now
-        now ^= r["odd"]
+    escape, pairs = d.escape, re.compile(f"{re.escape(d.escape)}[\\s\\S]") if d.escape else None
+    bare = _bare(F.col("value"), d)
+    odd = (F.sum(F.length(bare) - F.length(F.replace(bare, F.lit(quote), F.lit("")))) % 2).cast("int")
+    held = F.max_by(F.contains(bare, F.lit(escape)), "at") if escape else F.lit(False)  # the last line's terminator is escaped
+    inside: dict[tuple[str, int], tuple[bool, bool]] = {}
+    now, goes_on, name = 0, False, None
+    for r in _splits(lines.withColumn("at", F.monotonically_increasing_id()).groupBy("file", "block").agg(odd.alias("odd"), held.alias("held"))):
+        now, goes_on, name = (now, goes_on, name) if r["file"] == name else (0, False, r["file"])
+        inside[name, r["block"]] = bool(now), goes_on
+        now, goes_on = now ^ r["odd"], r["held"]
     begins = spark.sparkContext.broadcast(inside)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,12 +393,14 @@ def split_records(spark: SparkSession, paths: Sequence[str], spec: ReadSpec, hea
                     if piece:
                         close(BEGUN if started else INNER)
                     at = (file, block)
-                    is_open = bool(begins.value[at])  # a split that the first pass did not see is an error
-                    started, skip = not is_open, 0 if block or file in headerless else last
+                    is_open, goes_on = begins.value[at]  # a split that the first pass did not see is an error
+                    started, skip = not (is_open or goes_on), 0 if block or file in headerless else last
                     value = value if block else value.removeprefix("\ufeff")
                 piece.append(value)
+                if pairs and escape in value:
+                    value = pairs.sub("", value)
                 is_open ^= value.count(quote) % 2 == 1
-                if not is_open:
+                if not is_open and not (escape and escape in value):
                     close(WHOLE if started else ENDED)
             yield _pieces(out)
             out = []

@@ -224,6 +224,28 @@ def test_names_need_a_files_head_alone(spark, put, monkeypatch):
     assert [len(n) for n in api.read_delimited(spark, long, SEMI).columns] == [200_000, 1]
 
 
+@pytest.mark.parametrize("size", [50, 1000])
+@pytest.mark.parametrize("d", [Dialect(";", "\n", escape="\\", double_quote=False), Dialect(";", "\r\n", escape="\\")])
+def test_escaped_text_is_split(spark, put, size, d):
+    """Escaped quotes do not count, and an escaped terminator ends no record, quoted or not."""
+    t = d.line_terminator
+    kinds = [f'"a\\"{t};\\\\"', f"x\\{t}y", '"\\\\\\";"', "\\;\\\"z", f'"{t}{t}\\{t}"', '"é"', f"\\{t[0]}\\\\", ""]
+    path = put("k;v" + t + "".join(f"{i};{kinds[i % 8]}{t}" for i in range(160)))
+    exact = sorted(rows(api.to_arrays(spark, path, ReadSpec(d, scan="exact"))))
+    want = sorted(rows(api.read_delimited(spark, path, ReadSpec(d, scan="exact"))))
+    old = [spark.conf.get(n) for n in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")]
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        df = api.read_delimited(spark, path, ReadSpec(d))
+        assert df.rdd.getNumPartitions() > 2 and sorted(rows(df)) == want and len(want) == 160
+        assert sorted(rows(api.to_arrays(spark, path, ReadSpec(d)))) == exact
+        assert rows(api.count_records(spark, path, ReadSpec(d))) == [(160,)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
 @pytest.mark.parametrize("repeat", [True, False])
 def test_tables_with_a_header_are_written_in_parts(spark, repeat):
     """No task gathers the table: each partition is a file, with the header or after a file of it."""
